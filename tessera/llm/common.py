@@ -31,6 +31,14 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores before it until no column of taken has it in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings; null is the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, packing, sharding, simhash, tokens
+from tessera.llm import decontam, media, packing, sharding, simhash, substring, tokens
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash": simhash.op2_simhash,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op6_substring": substring.op6_substring,
     "op8_packing": packing.op8_packing,
     "op9_media": media.op9_media,
     "op10_tokens": tokens.op10_tokens,
 }
-ORACLES = {"op1_sharding": sharding.ORACLE}
+ORACLES = {"op1_sharding": sharding.ORACLE, "op3_decontamination": decontam.ORACLE}
