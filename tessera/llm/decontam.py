@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name, table
+from tessera.session import checkpointed
 
 #: Words of a window; a document is contaminated if 1 in SHARE of its words or more is hit.
 WINDOW, SHARE = 13, 20
@@ -76,10 +77,8 @@ def prefix_index(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(key, version, hits) for texts with hits: hits are all occurrences of windows as (start, n, items). docs: (key, version, text)."""
-    index = prefix_index(docs, windows(benchmark, size))
+    index = checkpointed(prefix_index(docs, windows(benchmark, size)))
     n_tokens = index.limit(BROADCAST_TOKENS + 1).count()
-    if not n_tokens:
-        index = index.limit(0)
     bits = index.select(_bit(F.col("token")).alias("bit"))
     lanes = bits.groupBy(F.shiftright("bit", 6).alias("lane")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).collect()
     dense = [0] * (BITMAP >> 6)
