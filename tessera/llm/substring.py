@@ -7,7 +7,7 @@ anchors of its texts, one cell each of a count-min row of 2**CELL_BITS cells; th
 sparse sketches are merged by adding cells up. Merged counts can only overestimate.
 Cells that count two or more are folded into a bitmap of fixed size (which again can
 only add cells) and broadcast. Second pass: only windows whose anchor is estimated
-repeated are hashed in full (128 bits over their words) and grouped exactly. Each task
+repeated are hashed in full (to a digest of their words, told apart by it and the anchor together) and grouped exactly. Each task
 first settles its own repeats, so that a window met in a thousand copies is shuffled
 once a task, and the rest are compared in order of document and place.
 """
@@ -90,16 +90,20 @@ def _least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(words: Words, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: the word it starts at, its anchor's cell, and the word its anchor starts at."""
+    """For each window: the word it starts at, its anchor's value, and the word its anchor starts at."""
     where = words.windows(window)
     if not len(where):
-        return where, where, where
+        return where, where.astype(np.uint64), where
     h, n = words.hashes(), len(words.start) - shingle + 1
     rolled = np.zeros(n, np.uint64)
     for j in range(shingle):
         rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n]
     value, at = _least(_mix(rolled), window - shingle + 1)
-    return where, (value[where] >> np.uint64(64 - CELL_BITS)).astype(np.int64), at[where]
+    return where, value[where], at[where]
+
+
+def _cells(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def sketch(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -107,9 +111,9 @@ def sketch(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            _, cell, at = anchors(Words(raw(piece)), window, shingle)
+            _, value, at = anchors(Words(raw(piece)), window, shingle)
             new = np.concatenate([[True], np.diff(at) != 0]) if len(at) else np.empty(0, bool)
-            cells, n = np.unique(cell[new], return_counts=True)
+            cells, n = np.unique(_cells(value[new]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
@@ -133,82 +137,101 @@ def bitmap(cells: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return out
 
 
-def _repeats(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows (h1, h2, doc, version, start): an order by hash and place, and who in that order is a group's first place."""
-    h1, h2, doc, version, start = columns
-    order = np.lexsort((start, version, doc, h2, h1))
-    same = (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
-    return order, np.concatenate([[True], ~same]) if len(order) else np.empty(0, bool)
+def _settle(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of these windows also start earlier among them. Equal anchor and digest mean equal words."""
+    order = np.lexsort((start, doc, digest, anchor))
+    a, g, d, s = anchor[order], digest[order], doc[order], start[order]
+    first = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(g) != 0)]) if len(order) else np.empty(0, bool)
+    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    later = np.empty(len(order), bool)
+    later[order] = (d != d[head]) | (s != s[head])
+    return later
+
+
+def _runs(*same: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and lengths of the runs in which same stay equal and start goes up by one."""
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.diff(start) != 1
+    for x in same:
+        new |= np.diff(x) != 0
+    at = np.concatenate([[0], np.flatnonzero(new) + 1])
+    return at, np.diff(np.append(at, len(start)))
+
+
+_FOUND = "anchor long, _key long, _version long, start long, n long, digests binary"
+
+
+def _rows(anchor: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarray, n: np.ndarray, digests: np.ndarray) -> pa.RecordBatch:
+    """Rows of _FOUND; digests has n 64-bit values for each row, or none at all."""
+    offsets = 8 * np.concatenate([[0], np.cumsum(n)]) if len(digests) else np.zeros(len(n) + 1, np.int64)
+    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(digests))])
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (anchor, doc, version, start, n)), packed], names=["anchor", "_key", "_version", "start", "n", "digests"])
+
+
+def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Removed windows as rows without digests; their anchor only spreads them over the tasks."""
+    order = np.lexsort((start, version, doc))
+    doc, version, start = doc[order], version[order], start[order]
+    at, n = _runs(doc, version, start=start)
+    spread = _mix(doc[at].astype(np.uint64) * np.uint64(31) + start[at].astype(np.uint64)).view(np.int64)
+    return _rows(spread, doc[at], version[at], start[at], n, np.empty(0, np.int64))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Windows that also start earlier, as runs of neighbours: (_key, _version, start, n). docs: (_key, _version, text)."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(bitmap(sketch(docs, window, shingle)))
+    """Windows that also start earlier, as runs of neighbours: (_key, _version, start, n). docs: (_key, _version, text).
+
+    Between the tasks go the windows that are their task's first, as runs that share
+    one anchor: the anchor's value and a 64-bit digest of each window's words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(sketch(docs, window, shingle)))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, digest = sent.value, xxhash.xxh3_128_digest
+        bits, digest = sent.value, xxhash.xxh3_64_digest
         for piece in pieces(batches):
             words = Words(raw(piece))
-            where, cell, _ = anchors(words, window, shingle)
-            cell &= (1 << BITMAP_BITS) - 1
-            where = where[(bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1]
+            where, value, at = anchors(words, window, shingle)
+            cell = _cells(value) & ((1 << BITMAP_BITS) - 1)
+            known = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+            where, value, at = where[known], value[known].view(np.int64), at[known]
             buffer = words.buffer
-            both = b"".join([digest(buffer[a:b]) for a, b in zip(words.start[where].tolist(), words.end[where + window - 1].tolist(), strict=True)])
-            h = np.frombuffer(both, np.int64).reshape(-1, 2)
-            text = words.text[where]
-            place = [piece.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_key", "_version")]
-            yield settle([h[:, 0], h[:, 1], *place, where - words.first[text]], final=False)
-
-    def settle(columns: list[np.ndarray], final: bool) -> pa.RecordBatch:
-        """First places stay windows (n 0) unless final; later ones become spans."""
-        order, first = _repeats(columns)
-        h1, h2, doc, version, start = (x[order] for x in columns)
-        head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        later = (doc != doc[head]) | (start != start[head])
-        d, v, s = doc[later], version[later], start[later]
-        by_place = np.lexsort((s, v, d))
-        d, v, s = d[by_place], v[by_place], s[by_place]
-        new = np.concatenate([[True], (np.diff(s) > 1) | (np.diff(d) != 0) | (np.diff(v) != 0)]) if len(s) else np.empty(0, bool)
-        at = np.flatnonzero(new)
-        n = (s[np.append(at[1:], len(s)) - 1] - s[at] + 1) if len(at) else np.empty(0, np.int64)
-        keep = ~later & (not final)
-        out = [
-            np.concatenate([h1[keep], _scatter(d[at], s[at])]),
-            np.concatenate([h2[keep], np.zeros(len(at), np.int64)]),
-            np.concatenate([doc[keep], d[at]]),
-            np.concatenate([version[keep], v[at]]),
-            np.concatenate([start[keep], s[at]]),
-            np.concatenate([np.zeros(int(keep.sum()), np.int64), n]),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["h1", "h2", "_key", "_version", "start", "n"])
-
-    def _scatter(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-        return _mix(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)).view(np.int64)
-
-    kinds = "h1 long, h2 long, _key long, _version long, start long, n long"
-    found = docs.select("_key", "_version", "text").mapInArrow(estimate, kinds)
-    grouped = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+            hashed = b"".join([digest(buffer[a:b]) for a, b in zip(words.start[where].tolist(), words.end[where + window - 1].tolist(), strict=True)])
+            digests, text = np.frombuffer(hashed, np.int64), words.text[where]
+            doc, version = (piece.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_key", "_version"))
+            start = where - words.first[text]
+            later = _settle(value, digests, doc, version, start)
+            yield _spans(doc[later], version[later], start[later])
+            value, digests, doc, version, start, at, text = (x[~later] for x in (value, digests, doc, version, start, at, text))
+            first, n = _runs(at, text, start=start)
+            if len(first):
+                yield _rows(value[first], doc[first], version[first], start[first], n, digests)
+
+    found = docs.select("_key", "_version", "text").mapInArrow(estimate, _FOUND)
+    grouped = found.repartition("anchor").sortWithinPartitions("anchor")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            spans = batch.filter(pc.greater(batch.column("n"), 0))
-            if spans.num_rows:
-                yield spans
-            batch = batch.filter(pc.equal(batch.column("n"), 0))
-            columns = [batch.column(i).to_numpy() for i in range(5)]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
-            cut = int(change[-1]) if len(change) else 0
-            held = [x[cut:] for x in columns]
-            if cut:
-                yield settle([x[:cut] for x in columns], final=True)
-        if held is not None and len(held[0]):
-            yield settle(held, final=True)
-
-    return grouped.mapInArrow(exact, kinds).select("_key", "_version", "start", "n")
+            settled = pc.equal(pc.binary_length(batch.column("digests")), 0)
+            yield batch.filter(settled)
+            table = pa.Table.from_batches([batch.filter(pc.invert(settled))])
+            held = table if held is None else pa.concat_tables([held, table])
+            change = np.flatnonzero(np.diff(held.column("anchor").to_numpy()))
+            if len(change):
+                yield compare(held.slice(0, int(change[-1]) + 1))
+                held = held.slice(int(change[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        n = rows.column("n").to_numpy()
+        anchor, doc, version, start = (np.repeat(rows.column(c).to_numpy(), n) for c in ("anchor", "_key", "_version", "start"))
+        start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
+        digests = np.frombuffer(b"".join(rows.column("digests").to_pylist()), np.int64)
+        later = _settle(anchor, digests, doc, version, start)
+        return _spans(doc[later], version[later], start[later])
+
+    return grouped.mapInArrow(exact, _FOUND).select("_key", "_version", "start", "n")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
