@@ -4,11 +4,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
 from tests.llm import fixtures
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -50,12 +52,13 @@ def check(got, docs, sequence):
 
 def test_awkward_rows(spark):
     docs = fixtures.clashing(fixtures.frame(spark, [(0, None, None, None, None), (None, "z", None, None, None), (3, "word", "en", "src0", 4)]))
-    check(packing.pack(docs, PATH, 64, group_docs=9).collect(), docs.collect(), 64)
+    check(packing.pack(docs, PATH, RANKS, 64, group_docs=9).collect(), docs.collect(), 64)
     assert packing.pack(fixtures.empty(spark), PATH).count() == 0
 
 
-def test_spaces_of_any_kind():
-    bpe, rng = packing.ByteBpe(PATH, kept=20), random.Random(5)
+@pytest.mark.parametrize("ranks", [None, RANKS])
+def test_spaces_of_any_kind(ranks):
+    bpe, rng = packing.ByteBpe(PATH, ranks, kept=20), random.Random(5)
     docs = ["".join(rng.choice("ab  \n\t1é!'s \x1c") for _ in range(rng.randrange(40))) for _ in range(600)]
     want = [np.array(bpe.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in docs]
     assert [x for at in range(0, 600, 50) for x in bpe.encode(docs[at : at + 50])] == want
