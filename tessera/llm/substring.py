@@ -9,7 +9,10 @@ Cells that count two or more are folded into a bitmap of fixed size (which again
 only add cells) and broadcast. Second pass: only windows whose anchor is estimated
 repeated are hashed in full (to a digest of their words, told apart by it and the anchor together) and grouped exactly. Each task
 first settles its own repeats, so that a window met in a thousand copies is shuffled
-once a task, and the rest are compared in order of document and place.
+once a task, and the rest are compared in order of document and place. Windows meet by
+their anchor; those whose anchor is estimated to occur HEAVY times or more meet by anchor
+and digest together, so that the many different windows around one common passage
+are spread over the tasks, and a task holds a bounded part of any group.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name, pieces, raw, table
+from tessera.session import checkpointed
 
 #: Words of a window and of a shingle within it, bits of a sketch cell's number and of the broadcast bitmap's.
 WINDOW, SHINGLE, CELL_BITS, BITMAP_BITS = 20, 8, 40, 28
+#: Estimated occurrences from which an anchor is heavy, bits of the bitmap of heavy ones, and rows of a group that a task compares at once.
+HEAVY, HEAVY_BITS, GROUP_ROWS = 512, 24, 1 << 16
 #: Bits of one block of the bitmap, in which it is built.
 _BLOCK_BITS = 20
 
@@ -178,31 +184,40 @@ def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> pa.Record
     return _rows(spread, doc[at], version[at], start[at], n, np.empty(0, np.int64))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def _has(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    cells = cells & (8 * len(bits) - 1)
+    return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
     """Windows that also start earlier, as runs of neighbours: (_key, _version, start, n). docs: (_key, _version, text).
 
     Between the tasks go the windows that are their task's first, as runs that share
-    one anchor: the anchor's value and a 64-bit digest of each window's words.
+    one anchor: the anchor's value and a 64-bit digest of each window's words. A window
+    of a heavy anchor goes alone, under a value mixed from its anchor and its digest.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(sketch(docs, window, shingle)))
+    cells = checkpointed(sketch(docs, window, shingle))
+    sent = docs.sparkSession.sparkContext.broadcast((bitmap(cells), bitmap(cells.where(F.col("n") >= heavy), HEAVY_BITS)))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, digest = sent.value, xxhash.xxh3_64_digest
+        (repeated, common), digest = sent.value, xxhash.xxh3_64_digest
         for piece in pieces(batches):
             words = Words(raw(piece))
             where, value, at = anchors(words, window, shingle)
-            cell = _cells(value) & ((1 << BITMAP_BITS) - 1)
-            known = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            where, value, at = where[known], value[known].view(np.int64), at[known]
+            known = _has(repeated, _cells(value))
+            where, value, at = where[known], value[known], at[known]
             buffer = words.buffer
             hashed = b"".join([digest(buffer[a:b]) for a, b in zip(words.start[where].tolist(), words.end[where + window - 1].tolist(), strict=True)])
             digests, text = np.frombuffer(hashed, np.int64), words.text[where]
+            hot = _has(common, _cells(value))
+            value[hot] = _mix(value[hot] ^ digests[hot].view(np.uint64) * np.uint64(_BASE))
+            value = value.view(np.int64)
             doc, version = (piece.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_key", "_version"))
             start = where - words.first[text]
             later = _settle(value, digests, doc, version, start)
             yield _spans(doc[later], version[later], start[later])
             value, digests, doc, version, start, at, text = (x[~later] for x in (value, digests, doc, version, start, at, text))
-            first, n = _runs(at, text, start=start)
+            first, n = _runs(at, value, text, start=start)
             if len(first):
                 yield _rows(value[first], doc[first], version[first], start[first], n, digests)
 
@@ -218,23 +233,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
             held = table if held is None else pa.concat_tables([held, table])
             change = np.flatnonzero(np.diff(held.column("anchor").to_numpy()))
             if len(change):
-                yield compare(held.slice(0, int(change[-1]) + 1))
+                yield compare(held.slice(0, int(change[-1]) + 1))[0]
                 held = held.slice(int(change[-1]) + 1)
+            if held.num_rows > GROUP_ROWS:
+                found, first = compare(held)
+                yield found
+                held = pa.Table.from_batches([first])
         if held is not None and held.num_rows:
-            yield compare(held)
+            yield compare(held)[0]
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
+    def compare(rows: pa.Table) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """The windows of rows that also start earlier among them, and the first ones, each a row of its own."""
         n = rows.column("n").to_numpy()
         anchor, doc, version, start = (np.repeat(rows.column(c).to_numpy(), n) for c in ("anchor", "_key", "_version", "start"))
         start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
         digests = np.frombuffer(b"".join(rows.column("digests").to_pylist()), np.int64)
         later = _settle(anchor, digests, doc, version, start)
-        return _spans(doc[later], version[later], start[later])
+        first = ~later
+        return _spans(doc[later], version[later], start[later]), _rows(anchor[first], doc[first], version[first], start[first], np.ones(first.sum(), np.int64), digests[first])
 
     return grouped.mapInArrow(exact, _FOUND).select("_key", "_version", "start", "n")
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
     """docs with text replaced by its kept words joined by single spaces, and _n_words, _n_removed, _kept_sha256.
 
     A text without a removed word keeps its exact form as text; _kept_sha256 is always that
@@ -246,7 +267,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
     docs = docs.drop("_n_words", "_n_removed", "_kept_sha256")
     key, version, held = (free_name(x, docs.columns) for x in ("_key", "_version", "_spans"))
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), version: F.xxhash64("text")})
-    spans = repeated_spans(keyed.select(F.col(key).alias("_key"), F.col(version).alias("_version"), "text"), window, shingle)
+    spans = repeated_spans(keyed.select(F.col(key).alias("_key"), F.col(version).alias("_version"), "text"), window, shingle, heavy)
     by_text = spans.groupBy(F.col("_key").alias(key), F.col("_version").alias(version)).agg(F.collect_list(F.struct("start", "n")).alias(held))
     joined = keyed.join(by_text, [key, version], "left").drop(key, version)
     names = docs.columns

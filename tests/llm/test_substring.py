@@ -55,6 +55,19 @@ def test_random_and_periodic_texts(spark, seed):
     assert got(substring.drop_repeats(frame).collect()) == plain(docs)
 
 
+@pytest.mark.parametrize("group_rows", [1 << 16, 3])
+def test_heavy_anchors(spark, monkeypatch, group_rows):
+    """Around a common passage all windows differ; every anchor counts as heavy here, and groups are compared in parts."""
+    monkeypatch.setattr(substring, "GROUP_ROWS", group_rows)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(25)) + " " + passage + f" e{i} " + " ".join(f"v{rng.randrange(3)}" for _ in range(30))) for i in range(150)]
+    docs += [(500 + i, docs[0][1]) for i in range(20)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(9)
+    assert got(substring.drop_repeats(frame, heavy=2).collect()) == plain(docs)
+
+
 def test_given_documents(spark):
     docs = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{fixtures.SF}/documents.parquet").collect()]
     rows = substring.op6_substring(spark, fixtures.SF).collect()
