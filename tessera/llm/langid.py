@@ -24,6 +24,8 @@ from tessera.llm.common import pieces, table, texts
 
 #: Order of the models; documents of each language that they are learned from at most, and that fit the temperature; languages at most.
 ORDER, TRAIN_ROWS, FIT_ROWS, MAX_LANGUAGES = 4, 1000, 200, 200
+#: Documents ranked for the sample, as a multiple of those taken.
+MARGIN = 4
 #: Characters that count for the score's softmax at most, and the temperatures tried.
 SCORE_CHARS, TEMPERATURES = 400, np.geomspace(0.01, 4, 40)
 #: Code points assumed for the uniform distribution below the lowest order.
@@ -177,12 +179,16 @@ class Models:
 
 def fit(known: DataFrame, rows: int = TRAIN_ROWS, fit_rows: int = FIT_ROWS) -> Models:
     """Models of the languages of known (doc_id, text, lang); rows bounds the documents of a language, those of least hashed id."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = known.where("lang is not null and doc_id is not null and text is not null and text <> ''")
-    languages = [r["lang"] for r in usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    chosen = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows + fit_rows)
+    # Hashes are spread evenly, so the least few of a language lie below a bound, and only those few are ranked in one task.
+    bounds = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, (MARGIN * (rows + fit_rows) + 1000) / n))]) if sizes else F.lit(None).cast("map<string,double>")
+    place = (F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = usable.select("doc_id", "lang").where(place <= bounds[F.col("lang")])
+    chosen = few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows + fit_rows)
     mine = usable.select("doc_id", F.col("lang").alias("own"), "text").join(F.broadcast(chosen), "doc_id").where("own = lang").select("lang", "rank", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
