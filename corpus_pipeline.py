@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, packing, quality, simhash, substring
+from tessera.llm import decontam, jaccard, packing, quality, substring
 from tessera.session import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; a document with a null id stays."""
-    classes = simhash.near_duplicates(docs)
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the document with the least id stays; a document with a null id stays."""
+    classes = jaccard.near_duplicates(docs)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
