@@ -8,16 +8,25 @@ own best k per query, so that only k rows per query and task are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors beyond this number are refused: they are broadcast to all tasks.
+from tessera.session import checkpointed
+
+#: About so many query vectors are broadcast at once; more are taken in further blocks.
 MAX_QUERIES = 10_000
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries, dealt by hash of the id into blocks of about MAX_QUERIES rows at most."""
+    n = -(-queries.count() // MAX_QUERIES)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -30,15 +39,13 @@ def cosine(a: Column, b: Column) -> Column:
 def score_pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of each query vector with each vector but itself: (qid, vec_id, label, score).
 
-    For small query sets. queries: (qid, qvec), at most MAX_QUERIES rows, checked here
-    before it is broadcast.
+    queries: (qid, qvec), any number; they are broadcast in blocks.
     """
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors")
-    return vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select(
-        "qid", "vec_id", "label", cosine(F.col("embedding"), F.col("qvec")).alias("score")
-    )
+    each = [
+        vectors.join(F.broadcast(block), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", "label", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+        for block in _blocks(queries)
+    ]
+    return reduce(DataFrame.unionAll, each)
 
 
 def ranked(scored: DataFrame, k: int, key: str = "qid", item: str = "vec_id", score: str = "score") -> DataFrame:
@@ -48,10 +55,18 @@ def ranked(scored: DataFrame, k: int, key: str = "qid", item: str = "vec_id", sc
 
 
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k of many query vectors by blocked matrix products: (qid, vec_id, score, rank)."""
-    rows = queries.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors")
+    """Exact top-k of many query vectors by blocked matrix products: (qid, vec_id, score, rank).
+
+    Of several blocks of queries each is searched and written to the checkpoint folder before the next is read.
+    """
+    blocks = _blocks(queries)
+    if len(blocks) == 1:
+        return _knn_block(vectors, queries, k)
+    return reduce(DataFrame.unionAll, [checkpointed(_knn_block(vectors, block, k)) for block in blocks])
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.collect()
     ids = np.array([r["qid"] for r in rows], dtype=np.int64)
     matrix = np.array([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     norm = np.sqrt((matrix * matrix).sum(axis=1))
