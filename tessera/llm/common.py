@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python operator holds decoded at once (a longer document is a piece of its own).
 PIECE_BYTES = 4 << 20
+#: Bytes of a section of a long text, and of a table that is broadcast at most.
+SECTION_BYTES, BROADCAST_BYTES = 1 << 20, 32 << 20
+#: ASCII white space, that separates words.
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -47,3 +53,26 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's UTF-8 bytes; null is the empty text."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def sections(data: bytes, limit: int = SECTION_BYTES) -> Iterator[bytes]:
+    """data in parts of about limit bytes that end at ASCII white space, so that no word is cut; a longer word is whole."""
+    at = 0
+    while len(data) - at > limit:
+        end = SPACES.search(data, at + limit)
+        if end is None:
+            break
+        yield data[at : end.end()]
+        at = end.end()
+    yield data[at:] if at else data
+
+
+def fits(rows: DataFrame, width: Column | int) -> bool:
+    """Whether rows, of width bytes each beside about 32 for the row itself, may be broadcast. rows is read once: pass a checkpoint."""
+    total = rows.agg(F.sum(F.lit(width) + 32 if isinstance(width, int) else F.coalesce(width, F.lit(0)) + 32)).first()[0]
+    return (total or 0) <= BROADCAST_BYTES
+
+
+def sent(rows: DataFrame, width: Column | int) -> DataFrame:
+    """rows, marked for a broadcast where their measured size allows it; joined by a shuffle otherwise."""
+    return F.broadcast(rows) if fits(rows, width) else rows

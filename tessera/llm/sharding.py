@@ -4,16 +4,20 @@ Each shard has its own permutation of the slots of a prime-sized table (an offse
 and a step drawn from its name). Shards take turns; on its turn a shard claims
 the first slot of its permutation that is still free. Every shard so owns an
 equal number of slots to within one, and few slots change hands if a shard goes.
-A row's key is hashed to a slot. Everything is SQL expressions: the table is
-folded by one aggregate() over the turns and its table_size rows are broadcast,
-a size fixed by the parameter and not by the data.
+The table follows from the parameters alone, so it is filled once, where the plan is
+made, and travels to the tasks as one literal array of table_size numbers, with the
+plan. A row's key is hashed to a slot and its shard is read at that place of the
+array: SQL expressions only, without a join.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Production parameters: shards, and a prime of more than 100 slots a shard.
@@ -24,40 +28,37 @@ def shard_names(n: int) -> list[str]:
     return [f"shard-{i:05d}" for i in range(n)]
 
 
-def _number(text: str) -> str:
-    return f"cast(conv(substring(md5({text}), 1, 8), 16, 10) as bigint)"
+def _number(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
-def lookup_table(spark: SparkSession, shards: Sequence[str], table_size: int = TABLE_SIZE) -> DataFrame:
-    """One row per slot: (slot int, shard string). table_size must be a prime of at least the number of shards."""
+@lru_cache(maxsize=16)
+def claim_slots(shards: tuple[str, ...], table_size: int = TABLE_SIZE) -> tuple[int, ...]:
+    """The number of the shard that owns each slot. table_size must be a prime of at least the number of shards."""
     if not shards or len(set(shards)) != len(shards):
         raise ValueError("shards must be distinct and at least one")
     if table_size < max(2, len(shards)) or any(table_size % p == 0 for p in range(2, int(table_size**0.5) + 1)):
         raise ValueError("table_size must be a prime of at least the number of shards")
-    m, n = table_size, len(shards)
-    names = ", ".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in shards)
-    free = f"j -> get(s.slots, cast((get(offsets, k % {n}) + j * get(steps, k % {n})) % {m} as int)) = -1"
-    following = f"get(s.following, k % {n})"
-    return spark.sql(f"""
-        WITH shards AS (SELECT array({names}) AS names),
-        preferences AS (
-          SELECT names, transform(names, x -> {_number("concat(x, ':offset')")} % {m}) AS offsets,
-                 transform(names, x -> {_number("concat(x, ':step')")} % {m - 1} + 1) AS steps FROM shards),
-        filled AS (
-          SELECT names, aggregate(
-            sequence(0, {m - 1}),
-            named_struct('slots', array_repeat(-1, {m}), 'following', array_repeat(0L, {n})),
-            (s, k) -> get(transform(
-              transform(
-                array(coalesce(
-                  get(filter(sequence({following}, least({following} + 63, {m - 1}L)), {free}), 0),
-                  get(filter(sequence({following}, {m - 1}L), {free}), 0))),
-                j -> named_struct('j', j, 'p', cast((get(offsets, k % {n}) + j * get(steps, k % {n})) % {m} as int))),
-              c -> named_struct(
-                'slots', concat(slice(s.slots, 1, c.p), array(k % {n}), slice(s.slots, c.p + 2, {m})),
-                'following', transform(s.following, (x, i) -> if(i = k % {n}, c.j + 1, x)))), 0),
-            s -> s.slots) AS slots FROM preferences)
-        SELECT slot, names[owner] AS shard FROM (SELECT names, posexplode(slots) AS (slot, owner) FROM filled)""")
+    at = [_number(f"{x}:offset") % table_size for x in shards]
+    steps = [_number(f"{x}:step") % (table_size - 1) + 1 for x in shards]
+    owners = [-1] * table_size
+    for turn in range(table_size):
+        k = turn % len(shards)
+        while owners[at[k]] >= 0:
+            at[k] = (at[k] + steps[k]) % table_size
+        owners[at[k]] = k
+    return tuple(owners)
+
+
+def _literal(values: Sequence[int | str], kind: str) -> Column:
+    """The values as one array, folded to a literal of the plan."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
+def lookup_table(spark: SparkSession, shards: Sequence[str], table_size: int = TABLE_SIZE) -> DataFrame:
+    """One row per slot: (slot int, shard string)."""
+    owners, names = _literal(claim_slots(tuple(shards), table_size), "int"), _literal(shards, "string")
+    return spark.range(1).select(F.posexplode(owners).alias("slot", "owner")).select("slot", F.get(names, F.col("owner")).alias("shard"))
 
 
 def assign_shards(rows: DataFrame, key: Sequence[str], shards: Sequence[str] | int = SHARDS, table_size: int = TABLE_SIZE) -> DataFrame:
@@ -74,8 +75,8 @@ def assign_shards(rows: DataFrame, key: Sequence[str], shards: Sequence[str] | i
     parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in key]
     digest = F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 8)
     placed = rows.withColumn("_slot", (F.conv(digest, 16, 10).cast("bigint") % table_size).cast("int"))
-    slots = lookup_table(rows.sparkSession, names, table_size).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    return placed.join(F.broadcast(slots), "_slot").select(*[F.col(f"`{c}`") for c in rows.columns], "_slot", "_shard")
+    owner = F.get(_literal(claim_slots(tuple(names), table_size), "int"), F.col("_slot"))
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], "_slot", F.get(_literal(names, "string"), owner).alias("_shard"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
