@@ -11,7 +11,9 @@ SQL functions are used.
 A bitmap of the prefix tokens' hashes, BITMAP bits whatever the data, is a literal of the plan so
 that only possible prefix tokens, each with the words around it, leave a document's row.
 The join brings all windows of a token as one array, so a passage that many documents
-share makes one row for each of its prefix tokens and not one for each window.
+share makes one row for each of its prefix tokens and not one for each window. Between the
+tasks a window is a number; the items that have it are attached at the end, to the distinct windows
+of a document.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, table
+from tessera.llm.common import fits, free_name, sent, table
 from tessera.session import checkpointed
 
 #: Words of a window; a document is contaminated if 1 in SHARE of its words or more is hit.
 WINDOW, SHARE = 13, 20
-#: Distinct benchmark tokens up to which they are broadcast; beyond, joins are shuffled. Bits of the literal bitmap.
-BROADCAST_TOKENS, BITMAP = 200_000, 1 << 16
+#: Bits of the literal bitmap, and parts into which a token's occurrences are dealt where the index is too large to broadcast.
+BITMAP, SALTS = 1 << 16, 32
 
 #: What stands between words, after lower-casing and before.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,41 +46,45 @@ def _bit(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BITMAP)).cast("int")
 
 
-def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows with the items that have them: (words, items)."""
+def windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows as (window, words), window being a number, and the items that have them as (window, item_id)."""
     items = benchmark.select("item_id", word_array(F.col("text")).alias("all")).where(F.size("all") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - size, F.lit(0))))
-    return (
+    each = checkpointed(
         items.select("item_id", "all", starts.alias("at"))
-        .select("item_id", F.slice("all", F.col("at") + 1, size).alias("words"))
-        .groupBy("words")
-        .agg(F.collect_set("item_id").alias("items"))
+        .select(F.slice("all", F.col("at") + 1, size).alias("words"), F.col("item_id").cast("string").alias("item_id"))
+        .distinct()
     )
+    found = checkpointed(each.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"))
+    return found, checkpointed(each.join(found, "words").select("window", "item_id").where("item_id is not null"))
 
 
 def prefix_index(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(token, windows): for each prefix token the windows that it stands for, as (offset, words, items)."""
-    places = found.select("words", "items", F.posexplode("words").alias("offset", "token"))
-    tokens = places.select("token").distinct()
-    few = tokens.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    """(token, windows): for each prefix token the windows that it stands for, as (offset, words, window)."""
+    places = found.select("window", "words", F.posexplode("words").alias("offset", "token"))
+    tokens = checkpointed(places.select("token").distinct())
     counts = (
         docs.select(F.explode(word_array(F.col("text"))).alias("token"))
-        .join(F.broadcast(tokens) if few else tokens, "token", "left_semi")
+        .join(sent(tokens, F.octet_length("token")), "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    rarest = places.join(counts, "token").groupBy("words").agg(F.min(F.struct("n", "token", "offset")).alias("rarest"), F.count(F.lit(1)).alias("present"), F.first("items").alias("items"))
+    rarest = places.join(counts, "token").groupBy("window", "words").agg(F.min(F.struct("n", "token", "offset")).alias("rarest"), F.count(F.lit(1)).alias("present"))
     return (
         rarest.where(F.col("present") == F.size("words"))  # a window with a word that no document has occurs nowhere
         .groupBy(F.col("rarest.token").alias("token"))
-        .agg(F.collect_list(F.struct(F.col("rarest.offset").alias("offset"), "words", "items")).alias("windows"))
+        .agg(F.collect_list(F.struct(F.col("rarest.offset").alias("offset"), "words", "window")).alias("windows"))
     )
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(key, version, hits) for texts with hits: hits are all occurrences of windows as (start, n, items). docs: (key, version, text)."""
-    index = checkpointed(prefix_index(docs, windows(benchmark, size)))
-    n_tokens = index.limit(BROADCAST_TOKENS + 1).count()
+def occurrences(docs: DataFrame, found: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(key, version, hits) for texts with hits: hits are all occurrences of the windows found as (start, n, window). docs: (key, version, text).
+
+    A place and a length have one window, so a text of n words has at most size * n hits.
+    """
+    index = checkpointed(prefix_index(docs, found))
+    width = F.aggregate("windows", F.lit(0), lambda s, w: s + F.octet_length(F.array_join(w["words"], " ")) + 24 * F.size(w["words"]))
+    small = fits(index, width)
     bits = index.select(_bit(F.col("token")).alias("bit"))
     lanes = bits.groupBy(F.shiftright("bit", 6).alias("lane")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).collect()
     dense = [0] * (BITMAP >> 6)
@@ -104,9 +110,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
     exact = lambda w: F.slice("near", F.greatest(start(w) - low, F.lit(0)) + 1, F.size(w["words"])) == w["words"]
     hits = F.transform(
         F.filter("windows", lambda w: inside(w) & exact(w)),
-        lambda w: F.struct(start(w).alias("start"), F.size(w["words"]).alias("n"), w["items"].alias("items")),
+        lambda w: F.struct(start(w).alias("start"), F.size(w["words"]).alias("n"), w["window"].alias("window")),
     )
-    joined = met.join(F.broadcast(index) if n_tokens <= BROADCAST_TOKENS else index, "token")
+    if small:
+        joined = met.join(F.broadcast(index), "token")
+    else:
+        dealt = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = met.withColumn("salt", F.pmod(F.xxhash64("key", "version", "at"), F.lit(SALTS)).cast("int")).join(dealt, ["token", "salt"])
     return joined.select("key", "version", hits.alias("hits")).where(F.size("hits") > 0).groupBy("key", "version").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
@@ -124,23 +134,30 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int =
     A null text has no words and is never contaminated; an item without words has no window; an item whose
     id is null hits but isn't named. Rows that repeat a document id and text are each marked. Input
     columns of the four names are replaced; further columns pass through, whatever their
-    names. An empty benchmark marks nothing.
+    names. An empty benchmark marks nothing, and an empty docs gives an empty table. Only texts with hits are
+    joined back, by a broadcast where their hits are few.
     """
     docs = docs.drop("_n_words", "_n_hit", "_items", "_contaminated")
-    key, version, hits = (free_name(x, docs.columns) for x in ("_key", "_version", "_hits"))
-    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), version: F.xxhash64("text")})
-    found = occurrences(keyed.select(F.col(key).alias("key"), F.col(version).alias("version"), "text"), benchmark, size)
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["items"], lambda i: i.cast("string"))))))
-    found = found.select(F.col("key").alias(key), F.col("version").alias(version), F.struct(_covered(F.col("hits")).alias("n"), items.alias("items")).alias(hits))
-    joined = keyed.join(found, [key, version], "left")
+    key, version, hits, words = (free_name(x, docs.columns) for x in ("_key", "_version", "_hits", "_words"))
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), _GAP_ANY_CASE), "")).cast("long")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), version: F.xxhash64("text"), words: n_words})
+    parts, owners = windows(benchmark, size)
+    found = checkpointed(
+        occurrences(docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("key"), F.xxhash64("text").alias("version"), "text"), parts, size)
+        .select("key", "version", _covered(F.col("hits")).alias("n"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows"))
+    )
+    each = found.select("key", "version", F.explode("windows").alias("window")).join(sent(owners, F.octet_length("item_id")), "window")
+    named = each.groupBy("key", "version").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    named = checkpointed(found.select("key", "version", "n").join(named, ["key", "version"], "left").select(F.col("key").alias(key), F.col("version").alias(version), F.struct("n", "items").alias(hits)))
+    width = F.octet_length(F.col(key)) + 8 + F.coalesce(F.octet_length(F.array_join(F.col(f"{hits}.items"), " ")) + 16 * F.size(f"{hits}.items"), F.lit(0))
+    joined = keyed.join(sent(named, width), [key, version], "left")
     n_hit = F.coalesce(F.col(f"{hits}.n"), F.lit(0).cast("long"))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        n_words.alias("_n_words"),
+        F.col(words).alias("_n_words"),
         n_hit.alias("_n_hit"),
         F.coalesce(F.col(f"{hits}.items"), F.array().cast("array<string>")).alias("_items"),
-        ((n_hit > 0) & (n_hit * share >= n_words)).alias("_contaminated"),
+        ((n_hit > 0) & (n_hit * share >= F.col(words))).alias("_contaminated"),
     )
 
 

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from tessera.llm import decontam
+from tessera.llm import common, decontam
 from tests.llm import fixtures
 
 
@@ -44,6 +44,13 @@ def test_awkward_rows(spark):
     assert decontam.mark(fixtures.empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_tables_too_large_for_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    base = dict(enumerate(r[1] for r in fixtures.rows()))
+    items = [(1, base[13][:400]), (2, "word"), (3, "same same " * 20), (4, base[13][:400]), (5, "of1 alpha2")]
+    assert any(r["_contaminated"] for r in check(spark, fixtures.frame(spark), items))
+
+
 def test_given_tables_equal_sql(spark):
     import duckdb
 
