@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,3 +77,25 @@ def fits(rows: DataFrame, width: Column | int) -> bool:
 def sent(rows: DataFrame, width: Column | int) -> DataFrame:
     """rows, marked for a broadcast where their measured size allows it; joined by a shuffle otherwise."""
     return F.broadcast(rows) if fits(rows, width) else rows
+
+
+def fold_by_key(rows: DataFrame, keys: Sequence[str], value: str, add: Callable[[Any, bytes], Any], finish: Callable[[Any], bytes], order: Sequence[str] = ()) -> DataFrame:
+    """(keys, value): of each key its binary values folded one after another, so that a task holds one key's state whatever the number of rows."""
+    rows = rows.select(*keys, value)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state = None, None
+        for batch in batches:
+            done = []
+            for *key, data in zip(*(batch.column(c).to_pylist() for c in (*keys, value)), strict=True):
+                if key != own:
+                    if own is not None:
+                        done.append((*own, finish(state)))
+                    own, state = key, None
+                state = add(state, data)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True) if done else [[]] * len(batch.schema), batch.schema, strict=True)], schema=batch.schema)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*own, finish(state)), batch.schema, strict=True)], schema=batch.schema)
+
+    return dealt.mapInArrow(run, rows.schema)
