@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python operator holds decoded at once (a longer document is a piece of its own).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Bytes of a section of a long text, and of a table that is broadcast at most.
 SECTION_BYTES, BROADCAST_BYTES = 1 << 20, 32 << 20
 #: ASCII white space, that separates words.

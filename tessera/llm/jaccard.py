@@ -1,11 +1,13 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash where links are defined by exact Jaccard similarity of word shingles.
 
 A text is the set of its distinct hashed WORDS-word shingles (ASCII lower case; a shorter text
-is one shingle). Two sets are linked where their Jaccard similarity is SIMILAR or more. All sets
+is one shingle). Two sets are linked where their Jaccard similarity is SIMILAR or more. First come the links of
+the BK-trees of tessera.llm.simhash, over fingerprints of the sets, each checked exactly. Fingerprints
+miss many links at 0.8 to 0.95, so they are completed: all sets
 are read in one total order of shingles, the common ones last. Linked sets then share a shingle
 among the first n - ceil(SIMILAR * n) + 1 of each (n its size), so only sets that meet often enough in such
 prefixes are compared, and none is missed: the order decides how many are compared, not which links
-are found. First each set is compared with a few leaders of each of its groups; only sets that
+are found. Each set is compared with a few leaders of each of its groups; only sets that
 are in different components after ROUNDS of that are compared pair by pair.
 """
 
@@ -19,10 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from tessera.llm.common import pieces, raw
+from tessera.llm.common import fold_by_key, pieces, raw
 from tessera.llm.components import connected_components
-from tessera.llm.substring import Words, _mix, bitmap
+from tessera.llm.simhash import RADIUS, links, majority
+from tessera.llm.substring import Words, _mix
 from tessera.session import checkpointed
 
 #: Words of a shingle; a link's least similarity as a fraction.
@@ -31,10 +35,10 @@ WORDS, SIMILAR = 5, (4, 5)
 SAMPLE, COMMON, COMMONS = 16, 2, 1 << 18
 #: Bytes of text that a task hashes at once.
 HASH_BYTES = 1 << 20
-#: Bits of the bitmap of documents to compare, that decides which texts are hashed and shuffled again.
-BITS = 24
+#: Bits of the bitmap of documents to compare, that decides which texts are hashed and shuffled again, and of a block of it.
+BITS, BLOCK_BITS = 24, 16
 #: Rounds in which each set is compared with leaders, and leaders of a shingle in each.
-ROUNDS, LEADERS = 2, 4
+ROUNDS, LEADERS = 1, 4
 #: Pairs of one leader that a task compares.
 PART = 256
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -75,19 +79,21 @@ def common(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]
         if taken > COMMONS:
             break
         least = r["n"]
-    rows = [] if least is None else counts.where(F.col("n") >= least).collect()
-    value = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    found = counts.where(F.col("n") >= least).toArrow()
+    value, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(value)
-    return value[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return value[order], n[order]
 
 
 def prefixes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, key, n, prefix array<long>) per row of docs: equal sets have equal keys."""
-    sent = docs.sparkSession.sparkContext.broadcast(common(docs, words))
+    """(doc_id, version, key, n, fp, prefix array<long>) per row of docs (doc_id, version, text), computed: equal sets have equal keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(common(docs, words))
     of, over = SIMILAR
 
     def prefix(x: np.ndarray) -> np.ndarray:
-        values, counts = sent.value
+        values, counts = shared.value
         size = len(x) - (of * len(x) + over - 1) // over + 1 if len(x) else 0
         if not len(values):
             return x[:size]
@@ -96,15 +102,51 @@ def prefixes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=HASH_BYTES):
-            keys, sizes, firsts = [], [], []
+            keys, sizes, prints, firsts = [], [], [], []
             for x in sets(raw(piece), words):
                 keys.append(_key(x))
                 sizes.append(len(x))
+                prints.append(majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)))
                 firsts.append(prefix(x).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "key", "n", "prefix"])
+            found = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("version"), *found], names=["doc_id", "version", "key", "n", "fp", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n int, prefix array<long>")
+    out = checkpointed(docs.mapInArrow(run, "doc_id long, version long, key long, n int, fp long, prefix array<long>"))
+    shared.destroy()
+    return out
+
+
+def bitmap(cells: DataFrame, bits: int = BITS) -> dict[int, np.ndarray]:
+    """The blocks of a bitmap of 2**bits bits with cell modulo 2**bits set for each cell; only blocks with a bit are held."""
+    block = min(bits, BLOCK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.unique(batch.column("cell").to_numpy())
+            cuts = np.append(np.flatnonzero(np.diff(cell >> block, prepend=-1)), len(cell))
+            parts = [cell[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0] >> block) for x in parts], pa.int64()), pa.array([(x & ((1 << block) - 1)).astype(np.uint32).tobytes() for x in parts], pa.binary())], names=["block", "cells"])
+
+    def add(state: np.ndarray | None, data: bytes) -> np.ndarray:
+        state = np.zeros(1 << block, bool) if state is None else state
+        state[np.frombuffer(data, np.uint32)] = True
+        return state
+
+    each = cells.select(F.col("cell").bitwiseAND(F.lit((1 << bits) - 1)).alias("cell")).mapInArrow(run, "block long, cells binary")
+    folded = fold_by_key(each, ["block"], "cells", add, lambda state: zlib.compress(np.packbits(state, bitorder="little").tobytes(), 1))
+    return {r["block"]: np.frombuffer(zlib.decompress(bytes(r["cells"])), np.uint8) for r in folded.toLocalIterator()}
+
+
+def _has(blocks: dict[int, np.ndarray], cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+    block = min(bits, BLOCK_BITS)
+    out = np.zeros(len(cells), bool)
+    for number in np.unique(cells >> block).tolist():
+        if number in blocks:
+            mine = cells >> block == number
+            low = cells[mine] & ((1 << block) - 1)
+            out[mine] = blocks[number][low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
+    return out
 
 
 def _possible(n: Column, at: Column, m: Column, by: Column) -> Column:
@@ -133,7 +175,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame
     of, over = SIMILAR
     low = F.lit((1 << BITS) - 1)
     wanted = pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).select(F.xxhash64("id").bitwiseAND(low).alias("cell"))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, BITS))
     sizes = pairs.groupBy("a").agg(F.min("a_id").alias("id"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     members = pairs.join(sizes.select("a", "parts"), "a").select(F.col("b_id").alias("id"), F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
     leaders = sizes.select("id", F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
@@ -142,8 +184,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            batch = batch.filter(pa.array((sent.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(_has(shared.value, batch.column("cell").to_numpy())))
             for piece in pieces([batch], limit=HASH_BYTES):
                 found = raw(piece)
                 keys = [_key(x) for x in sets(found, words)]
@@ -168,22 +209,44 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame
     each = docs.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(low).alias("cell")).mapInArrow(chosen, "id long, key long, packed binary")
     dealt = each.join(places, ["id", "key"]).select("key", "packed", F.explode("places").alias("to")).select("key", "packed", "to.*")
     dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "member", "key").select("a", "part", "member", "key", "packed")
-    return checkpointed(dealt.mapInArrow(run, "src long, dst long").distinct())
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per row of docs with an id: (doc_id, component_id), component_id the least doc_id reachable over links.
-
-    doc_id must be an integer. Texts without words are copies of each other; rows with a null
-    id are left out. Further columns are ignored; an empty table gives an empty one.
+    out = checkpointed(dealt.mapInArrow(run, "src long, dst long").distinct())
+    shared.destroy()
+    return out
+
+
+def _printed(firsts: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b, a_id, b_id) of sets whose fingerprints the BK-trees link, and of sets that share one."""
+    nodes = checkpointed(firsts.groupBy("fp").agg(F.min(F.struct("key", "id")).alias("first")).select("fp", F.col("first.key").alias("node"), F.col("first.id").alias("id")))
+    others = firsts.select("fp", F.col("key").alias("y"), F.col("id").alias("y_id"))
+    alike = others.join(nodes, "fp").where("y <> node").select(F.col("node").alias("x"), F.col("id").alias("x_id"), "y", "y_id")
+    near = links(nodes.select("fp", "node"), radius).distinct()
+    ids = nodes.select("node", "id")
+    near = near.join(ids.select(F.col("node").alias("src"), F.col("id").alias("x_id")), "src").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("y_id")), "dst")
+    both = alike.union(near.select(F.col("src").alias("x"), "x_id", F.col("dst").alias("y"), "y_id"))
+    swap = F.col("x") > F.col("y")
+    pick = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+    return checkpointed(both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("x_id", "y_id").alias("a_id"), pick("y_id", "x_id").alias("b_id")).distinct())
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs with an id: (doc_id, version, component_id, first), component_id the least doc_id reachable over links.
+
+    version is xxhash64(text), which tells rows of one id apart; first is true for one pair of doc_id and version of
+    each component, the least. doc_id must be an integer. Texts without words are copies of each other; rows with a null
+    id are left out, repeated rows are repeated. Further columns are ignored; an empty table gives an empty one.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = checkpointed(prefixes(docs, words))
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("version"))
+    rows = prefixes(docs, words)
+    # the least row of each set stands for it; of rows with one id the text that verified() meets is the set's own
+    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    firsts = checkpointed(firsts)
+    done = _printed(firsts, radius)
+    found = verified(docs, done, words)
+    linked = found
     entries = firsts.select("key", "id", "n", F.posexplode("prefix").alias("at", "shingle"))
     group = Window.partitionBy("shingle")
-    open_ = checkpointed(entries.withColumn("size", F.count(F.lit(1)).over(group)).where("size > 1").drop("size").withColumn("component", F.col("key")))
-    links = done = None
+    open_ = entries.withColumn("size", F.count(F.lit(1)).over(group)).where("size > 1").drop("size")
+    open_ = _different(open_.withColumn("component", F.col("key")), linked, group)
     for r in range(ROUNDS):
         leads = [F.min(F.struct(F.xxhash64("key", F.lit(LEADERS * r + k)).alias("order"), "key", "id", "n", "at", "component")).over(group) for k in range(LEADERS)]
         led = open_.select("*", *[x.alias(f"lead{k}") for k, x in enumerate(leads)])
@@ -196,19 +259,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
         names = ("a", "a_id", "n", "b", "b_id", "m")
         # two leaders meet each other as lead and as member: once a shingle
         met = _candidates(led.select("shingle", *[c.alias(x) for c, x in zip(of + to, names, strict=True)]).distinct())
-        done = met if done is None else done.union(met)
-        found = verified(docs, met, words)
-        links = found if links is None else links.union(found)
-        known = connected_components(links).withColumnRenamed("node", "key")
-        open_ = open_.drop("component").join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        open_ = open_.withColumn("some", F.min("component").over(group)).withColumn("other", F.max("component").over(group)).where("some <> other")
-        open_ = checkpointed(open_.drop("some", "other"))
+        new = checkpointed(met.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        done = done.select("a", "b").union(new.select("a", "b"))
+        linked = linked.union(verified(docs, new.select("a", "b", "a_id", "b_id"), words))
+        open_ = _different(open_, linked, group)
     x, y = open_.alias("x"), open_.alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
     met = met.where(_possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
     met = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    links = links.union(verified(docs, _candidates(met).join(done, ["a", "b"], "left_anti"), words))
-
-    named = rows.select("doc_id", "key").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", "component_id")
+    linked = linked.union(verified(docs, checkpointed(_candidates(met).join(done.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "a_id", "b_id"), words))
+
+    component = checkpointed(firsts.select("key").join(connected_components(linked).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    # copies of one text are few rows of one key after this partial aggregation
+    least = rows.groupBy("key").agg(F.min(F.struct("doc_id", "version")).alias("least")).join(component, "key").groupBy("component").agg(F.min("least").alias("least"))
+    named = checkpointed(component.join(least, "component").select("key", "least"))
+    out = rows.select("doc_id", "version", "key").join(named, "key")
+    return out.select("doc_id", "version", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "version") == F.col("least")).alias("first"))
+
+
+def _different(entries: DataFrame, linked: DataFrame, group: WindowSpec) -> DataFrame:
+    """entries with their components over the links so far, where a shingle's sets are in several."""
+    known = connected_components(linked).withColumnRenamed("node", "key")
+    out = entries.drop("component").join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    out = out.withColumn("some", F.min("component").over(group)).withColumn("other", F.max("component").over(group)).where("some <> other")
+    return checkpointed(out.drop("some", "other"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, pieces, table, texts
+from tessera.llm.common import fits, pieces, table, texts
 from tessera.session import checkpointed
 
 #: Labelled documents that the classifier is fitted on at most (those of least hashed id), and of these each near copy once.
@@ -32,8 +32,8 @@ MIN_COUNT, SIGNIFICANT = 5, 2.5
 BEGINNING, RIDGE, STEPS = 5, 0.1, 400
 #: A document is rejected if a defect's posterior is above this.
 REJECT = 0.5
-#: Sites up to which their rates are broadcast; more are joined on salted keys.
-BROADCAST_SITES, SALTS = 100_000, 16
+#: Parts into which a site's documents are dealt where the sites' rates are too large to broadcast.
+SALTS = 16
 #: Bounds of a site's prior strength, in documents.
 STRENGTH = (1.0, 1e6)
 DEFECTS = ("low", "toxic")
@@ -72,11 +72,14 @@ def _signature(text: str) -> int:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, low, toxic, found) for at most rows labelled documents."""
+    """(doc_id, low, toxic, found) for at most rows labelled documents.
+
+    Of labels that contradict each other the defect holds; of several texts with one id the one with the least signature is read.
+    """
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     chosen = (
-        known.select("doc_id", (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic"))
-        .dropDuplicates(["doc_id"])
+        known.groupBy("doc_id")
+        .agg(F.max(F.col("quality") == 0).alias("low"), F.max(F.col("toxic") == 1).alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
@@ -92,8 +95,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "low", "toxic")
     got = checkpointed(mine.mapInArrow(run, f"doc_id {kind}, low boolean, toxic boolean, signature long, found array<string>"))
-    first = got.groupBy("signature").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return got.dropDuplicates(["doc_id"]).join(first, "doc_id").select("doc_id", "low", "toxic", "found")
+    one = got.groupBy("doc_id").agg(F.min(F.struct("signature", "low", "toxic", "found")).alias("own")).select("doc_id", "own.*")
+    return one.groupBy("signature").agg(F.min(F.struct("doc_id", "low", "toxic", "found")).alias("own")).select("own.*")
 
 
 def _clear(name: str, a: int, b: int, bad: int, good: int) -> bool:
@@ -219,46 +222,49 @@ def site_rates(evidence: DataFrame) -> DataFrame:
     return found.select("host", "path", *[F.col(f"rate_{d}").alias(f"path_rate_{d}") for d in DEFECTS])
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with _p_low, _p_toxic (posteriors) and _keep, false if either is above REJECT.
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, columns: Sequence[str] | None = None) -> DataFrame:
+    """columns of docs (all, if None) with _p_low, _p_toxic (posteriors) and _keep, false if either is above REJECT.
 
     host and path name columns whose values (null is a value of its own) place a document. A
     null text is empty. Documents need no label; without any label all are kept. Repeated
     rows get equal values. Input columns of the three names are replaced; further columns pass
-    through, whatever their names. An empty table gives an empty one.
+    through, whatever their names. An empty table gives an empty one. The evidence travels in the documents' own
+    rows, so nothing is joined back to texts.
     """
     docs = docs.drop("_p_low", "_p_toxic", "_keep")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
-    model = sent.value
+    out = list(docs.columns if columns is None else columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
+    model = shared.value
+    # a document's columns are one struct, so that no name of theirs clashes
+    own_columns = F.struct(*[F.col(f"`{c}`") for c in out]).alias("own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = shared.value
         for piece in pieces(batches):
             scores = np.array([own.evidence(features(x)) for x in texts(piece)]).reshape(-1, len(DEFECTS))
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "version", "host", "path")), *map(pa.array, scores.T.copy())], names=["doc_id", "version", "host", "path", *(f"{d}_llr" for d in DEFECTS)])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("own", "host", "path")), *map(pa.array, scores.T.copy())], names=["own", "host", "path", *(f"{d}_llr" for d in DEFECTS)])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     place = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
-    placed = docs.select("doc_id", F.xxhash64("text").alias("version"), place(host).alias("host"), place(path).alias("path"), "text")
-    evidence = checkpointed(placed.mapInArrow(run, f"doc_id {kind}, version long, host string, path string, low_llr double, toxic_llr double"))
+    placed = docs.select(own_columns, place(host).alias("host"), place(path).alias("path"), "text")
+    schema = placed.drop("text").schema
+    for d in DEFECTS:
+        schema = schema.add(f"{d}_llr", "double")
+    evidence = checkpointed(placed.mapInArrow(run, schema))
+    shared.destroy()
     evidence = evidence.select("*", *[F.lit(model.fit[d][1]).alias(f"{d}_prior") for d in DEFECTS])
     rates = checkpointed(site_rates(evidence))
-    if rates.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
+    if fits(rates, F.octet_length("host") + F.octet_length("path") + 16):
         joined = evidence.join(F.broadcast(rates), ["host", "path"])
     else:
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = evidence.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
+        joined = evidence.withColumn("salt", F.pmod(F.xxhash64("low_llr", "toxic_llr"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"])
     final = {d: _sigmoid(F.col(f"{d}_llr") + _logit(F.col(f"path_rate_{d}"))) for d in DEFECTS}
-    scored = joined.select("doc_id", "version", "host", "path", *[x.alias(f"p_{d}") for d, x in final.items()])
-    key, version, h, p = (free_name(x, docs.columns) for x in ("_key", "_version", "_host", "_path"))
-    scored = scored.select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("host").alias(h), F.col("path").alias(p), F.col("p_low").alias("_p_low"), F.col("p_toxic").alias("_p_toxic")).dropDuplicates([key, version, h, p])
-    keyed = docs.withColumns({version: F.xxhash64("text"), h: place(host), p: place(path)})
-    on = keyed["doc_id"].eqNullSafe(scored[key]) & (keyed[version] == scored[version]) & (keyed[h] == scored[h]) & (keyed[p] == scored[p])
+    scored = joined.select("own", *[x.alias(f"_p_{d}") for d, x in final.items()])
     keep = (F.col("_p_low") <= REJECT) & (F.col("_p_toxic") <= REJECT)
-    return keyed.join(scored, on).select(*[keyed[f"`{c}`"] for c in docs.columns], "_p_low", "_p_toxic", keep.alias("_keep"))
+    return scored.select(*[F.col("own").getField(c).alias(c) for c in out], "_p_low", "_p_toxic", keep.alias("_keep"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    found = classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    found = classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), columns=["doc_id"])
     return found.select("doc_id", F.round("_p_low", 6).alias("p_low_quality"), F.round("_p_toxic", 6).alias("p_toxic"), F.col("_keep").alias("keep"))

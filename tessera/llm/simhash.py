@@ -10,11 +10,15 @@ bounded size is ever held by a task, and none is gathered on the driver. A shard
 of more than TREE_ROWS fingerprints is dealt into parts by hash, and every pair of
 parts is a shard of its own, so none is left out and none grows without bound.
 A shard returns the links of a spanning forest, not all pairs.
+
+A fingerprint of 64 bits finds near copies, not all texts of a given similarity (two sets of Jaccard similarity
+0.8 differ in about 10 bits). Where links are defined by similarity, the trees' links are checked
+exactly and completed by tessera.llm.jaccard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,32 +27,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, raw, table
+from tessera.llm.common import pieces, raw, sections, table
 from tessera.llm.components import connected_components
 from tessera.session import checkpointed
 
 #: Words of a shingle, differing bits of a link, blocks of a fingerprint, fingerprints of a shard's part.
 WORDS, RADIUS, BLOCKS, TREE_ROWS = 4, 4, 6, 16_384
+#: Copies from which a fingerprint is joined by a broadcast, and such fingerprints at most.
+COPIES, HEAVY = 64, 10_000
 #: Shards up to this size walk their tree one fingerprint at a time; larger ones in vectors.
 SMALL = 32
 
 
+#: Hashes whose bits a task counts at once.
+COUNTED = 1 << 16
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of 64-bit hashes, given as rows of 8 bytes from the highest; 0 without any."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), COUNTED):
+        counts += np.unpackbits(hashes[at : at + COUNTED], axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of the text's word shingles, repeats included; 0 without words."""
-    found = text.lower().split()
-    if not found:
-        return 0
-    n = max(1, len(found) - words + 1)
+    """SimHash of the text's word shingles, repeats included; 0 without words. A long text is read in sections."""
+    counts, total, tail, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_digest
+    for section in sections(text):
+        found = tail + section.lower().split()
+        tail = found[max(0, len(found) - words + 1) :]
+        if len(found) < words:
+            continue
+        total += _count(found, words, counts, digest)
+    if not total:
+        return majority(np.frombuffer(digest(b" ".join(tail), 42), np.uint8).reshape(1, 8)) if tail else 0
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
+
+
+def _count(found: list[bytes], words: int, counts: np.ndarray, digest: Callable[[bytes, int], bytes]) -> int:
+    """Adds the bits of the shingles of found to counts; their number."""
+    n = len(found) - words + 1
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist(), strict=True)])
-    counts = np.zeros(64, np.int64)
+    hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)])
     bits = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    for at in range(0, n, 1 << 16):
-        counts += np.unpackbits(bits[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    for at in range(0, n, COUNTED):
+        counts += np.unpackbits(bits[at : at + COUNTED], axis=1).sum(axis=0, dtype=np.uint32)
+    return n
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -184,10 +211,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     component. Further columns are ignored; an empty table gives an empty one.
     """
     prints = checkpointed(fingerprints(docs, words))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    linked = connected_components(links(nodes.where("node is not null"), radius))
-    classes = checkpointed(nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count(F.lit(1)).alias("size")))
+    linked = connected_components(links(nodes.where("node is not null").select("fp", "node"), radius))
+    classes = checkpointed(nodes.join(linked, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id")))
+    # a fingerprint of very many copies would be one key of the join: those few are broadcast
+    most = F.broadcast(classes.where(F.col("size") >= COPIES).orderBy(F.col("size").desc(), "fp").limit(HEAVY).select("fp", F.col("component_id").alias("heavy")))
+    told = checkpointed(prints.join(most, "fp", "left").withColumn("known", F.col("heavy").isNotNull()))
+    rest = told.where("not known").select("doc_id", "fp").join(classes.select("fp", "component_id"), "fp")
+    return told.where("known").select("doc_id", "fp", F.col("heavy").alias("component_id")).union(rest.select("doc_id", "fp", "component_id"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,25 +1,29 @@
 """Removal of repeated passages: windows of WINDOW words that also start earlier.
 
 A window's anchor is the leftmost least of its hashed SHINGLE-word shingles. Equal
-windows have equal anchors at different places, so a window can only be repeated if
-its anchor's value occurs at two places or more. First pass: each task sketches the
-anchors of its texts, one cell each of a count-min row of 2**CELL_BITS cells; the
-sparse sketches are merged by adding cells up. Merged counts can only overestimate.
-Cells that count two or more are folded into a bitmap of fixed size (which again can
-only add cells) and broadcast. Second pass: only windows whose anchor is estimated
+windows have equal anchors at different places, so a window occurs at most as often as
+its anchor's value does, at different places. First pass: each task keeps a count-min
+sketch of the anchors of its texts, ROWS rows of 2**bits cells, and the tasks' sketches are
+merged cell by cell, in blocks. The least of a value's cells can only overestimate.
+The sketch's width follows the input's size up to 2**MAX_BITS, so what is broadcast is bounded: of each row
+one bit a cell, set where it counts two or more. Second pass: only windows estimated
 repeated are hashed in full (to a digest of their words, told apart by it and the anchor together) and grouped exactly. Each task
 first settles its own repeats, so that a window met in a thousand copies is shuffled
 once a task, and the rest are compared in order of document and place. Windows meet by
 their anchor; those whose anchor is estimated to occur HEAVY times or more meet by anchor
 and digest together, so that the many different windows around one common passage
 are spread over the tasks, and a task holds a bounded part of any group.
+
+A long text is read in sections that overlap by a window less one word, so a task's memory doesn't follow
+the longest text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, pieces, raw, table
+from tessera.llm.common import fold_by_key, free_name, pieces, raw, sections, sent, table
 from tessera.session import checkpointed
 
-#: Words of a window and of a shingle within it, bits of a sketch cell's number and of the broadcast bitmap's.
-WINDOW, SHINGLE, CELL_BITS, BITMAP_BITS = 20, 8, 40, 28
+#: Words of a window and of a shingle within it.
+WINDOW, SHINGLE = 20, 8
+#: Rows of the sketch, bits of a cell's number at least and at most, bytes of text for one cell, bits of a block in which sketches are merged.
+ROWS, MIN_BITS, MAX_BITS, CELL_TEXT, BLOCK_BITS = 2, 16, 29, 16, 16
 #: Estimated occurrences from which an anchor is heavy, bits of the bitmap of heavy ones, and rows of a group that a task compares at once.
 HEAVY, HEAVY_BITS, GROUP_ROWS = 512, 24, 1 << 16
-#: Bits of one block of the bitmap, in which it is built.
-_BLOCK_BITS = 20
+#: Bytes of text that a task holds as arrays at once.
+TEXT_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -108,39 +114,127 @@ def anchors(words: Words, window: int, shingle: int) -> tuple[np.ndarray, np.nda
     return where, value[where], at[where]
 
 
-def _cells(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
+def held_words(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
+    """(owner, skipped, words): texts in sections, about TEXT_BYTES at once; a section's text and the number of its words before it.
 
-def sketch(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Merged count-min row, sparse: (cell, n) with n of 2 or more."""
+    The sections of a text overlap by window - 1 words, so that each window is in exactly one.
+    """
+    owner, skipped, held, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        tail, before = b"", 0
+        for section in sections(text, TEXT_BYTES):
+            held.append(tail + b" " + section if tail else section)
+            owner.append(i)
+            skipped.append(before)
+            size += len(held[-1])
+            if len(section) < len(text):
+                last = held[-1].split()
+                before += max(0, len(last) - window + 1)
+                tail = b" ".join(last[max(0, len(last) - window + 1) :])
+            if size >= TEXT_BYTES:
+                yield np.array(owner), np.array(skipped), Words(held)
+                owner, skipped, held, size = [], [], [], 0
+    if held:
+        yield np.array(owner), np.array(skipped), Words(held)
+
+
+def _cells(value: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cells of anchors in a row of the sketch."""
+    return (_mix(value + np.uint64((row * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of a cell's number, from the bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MAX_BITS, max(MIN_BITS, (size // CELL_TEXT).bit_length()))
+
+
+class Sketch:
+    """A count-min sketch of fixed width; only the cells met are held, as their numbers and counts."""
+
+    def __init__(self, bits: int):
+        self.bits, self.cells = bits, [[] for _ in range(ROWS)]
+        self.size = 0
+
+    def add(self, values: np.ndarray) -> None:
+        for row in range(ROWS):
+            self.cells[row].append(np.unique(_cells(values, row, self.bits), return_counts=True))
+        self.size += len(values)
+
+    def blocks(self) -> Iterator[tuple[int, int, bytes]]:
+        """(row, block, cells and counts): 16 bits of a cell's place in its block, 16 of its count, which stays at 65535."""
+        for row, found in enumerate(self.cells):
+            if not found:
+                continue
+            cells, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            counts = np.minimum(np.bincount(back, np.concatenate([n for _, n in found]), len(cells)), 65535).astype(np.uint32)
+            packed = (cells & ((1 << BLOCK_BITS) - 1)).astype(np.uint32) | counts << np.uint32(16)
+            cuts = np.append(np.flatnonzero(np.diff(cells >> BLOCK_BITS, prepend=-1)), len(cells))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield row, int(cells[lo] >> BLOCK_BITS), packed[lo:hi].tobytes()
+        self.cells, self.size = [[] for _ in range(ROWS)], 0
+
+
+def sketch(docs: DataFrame, bits: int, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(row, block, cells): the merged sketch, whose cells are counts of 16 bits, in blocks of 2**BLOCK_BITS; blocks without a count are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            _, value, at = anchors(Words(raw(piece)), window, shingle)
-            new = np.concatenate([[True], np.diff(at) != 0]) if len(at) else np.empty(0, bool)
-            cells, n = np.unique(_cells(value[new]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
-
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-
-
-def bitmap(cells: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of 2**bits bits with cell modulo 2**bits set for each cell; built in blocks, of fixed size whatever the data."""
-    block = min(bits, _BLOCK_BITS)
-
-    def run(key: tuple, batch: pa.Table) -> pa.Table:
-        out = np.zeros(1 << block, bool)
-        out[batch.column("cell").to_numpy() & ((1 << block) - 1)] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
-
-    folded = cells.select((F.col("cell").bitwiseAND(F.lit((1 << bits) - 1))).alias("cell")).distinct()
-    blocks = folded.withColumn("block", F.shiftright("cell", block)).groupBy("block").applyInArrow(run, "block long, bits binary")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in blocks.toLocalIterator():
-        at = r["block"] << (block - 3)
-        out[at : at + (1 << (block - 3))] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+        own = Sketch(bits)
+
+        def emit() -> pa.RecordBatch:
+            rows = list(own.blocks())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["row", "block", "cells"])
+
+        for piece in pieces(batches, limit=TEXT_BYTES):
+            for _, _, words in held_words(raw(piece), window):
+                _, value, at = anchors(words, window, shingle)
+                if len(at):
+                    own.add(value[np.concatenate([[True], np.diff(at) != 0])])
+                if own.size >= 1 << 21:
+                    yield emit()
+        yield emit()
+
+    def add(state: np.ndarray | None, data: bytes) -> np.ndarray:
+        state = np.zeros(1 << BLOCK_BITS, np.uint32) if state is None else state
+        packed = np.frombuffer(data, np.uint32)
+        state[packed & np.uint32(0xFFFF)] += packed >> np.uint32(16)
+        return np.minimum(state, 65535, out=state)
+
+    each = docs.select("text").mapInArrow(run, "row int, block int, cells binary")
+    return fold_by_key(each, ["row", "block"], "cells", add, lambda state: zlib.compress(state.astype(np.uint16).tobytes(), 1))
+
+
+class Estimate:
+    """What is kept of a merged sketch: of each row the cells that count two or more, and a bitmap of heavy ones."""
+
+    def __init__(self, merged: DataFrame, bits: int, heavy: int):
+        """merged: a checkpoint of sketch(). Its blocks are folded to bits before they reach the driver."""
+        self.bits, self.heavy_bits = bits, min(bits, HEAVY_BITS)
+        self.twice = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
+        self.heavy = np.zeros(1 << (self.heavy_bits - 3), np.uint8)
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [np.frombuffer(zlib.decompress(x), np.uint16) for x in batch.column("cells").to_pylist()]
+                planes = [[zlib.compress(np.packbits(x >= n, bitorder="little").tobytes(), 1) if (x >= n).any() else None for x in found] for n in (2, heavy)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), *(pa.array(p, pa.binary()) for p in planes)], names=["row", "block", "twice", "heavy"])
+
+        step = 1 << (BLOCK_BITS - 3)
+        for r in merged.mapInArrow(fold, "row int, block int, twice binary, heavy binary").where("twice is not null").toLocalIterator():
+            at = r["block"] * step
+            self.twice[r["row"], at : at + step] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
+            if r["heavy"] is not None and r["row"] == 0:
+                at %= len(self.heavy)
+                self.heavy[at : at + step] |= np.frombuffer(zlib.decompress(bytes(r["heavy"])), np.uint8)
+
+    def repeated(self, value: np.ndarray) -> np.ndarray:
+        out = np.ones(len(value), bool)
+        for row in range(ROWS):
+            out &= _has(self.twice[row], _cells(value, row, self.bits))
+        return out
+
+    def common(self, value: np.ndarray) -> np.ndarray:
+        return _has(self.heavy, _cells(value, 0, self.bits))
 
 
 def _settle(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -190,36 +284,37 @@ def _has(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
-    """Windows that also start earlier, as runs of neighbours: (_key, _version, start, n). docs: (_key, _version, text).
+    """Windows that also start earlier, as runs of neighbours: (_key, _version, start, n), computed. docs: (_key, _version, text).
 
     Between the tasks go the windows that are their task's first, as runs that share
     one anchor: the anchor's value and a 64-bit digest of each window's words. A window
     of a heavy anchor goes alone, under a value mixed from its anchor and its digest.
     """
-    cells = checkpointed(sketch(docs, window, shingle))
-    sent = docs.sparkSession.sparkContext.broadcast((bitmap(cells), bitmap(cells.where(F.col("n") >= heavy), HEAVY_BITS)))
+    bits = sketch_bits(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(Estimate(checkpointed(sketch(docs, bits, window, shingle)), bits, heavy))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (repeated, common), digest = sent.value, xxhash.xxh3_64_digest
-        for piece in pieces(batches):
-            words = Words(raw(piece))
-            where, value, at = anchors(words, window, shingle)
-            known = _has(repeated, _cells(value))
-            where, value, at = where[known], value[known], at[known]
-            buffer = words.buffer
-            hashed = b"".join([digest(buffer[a:b]) for a, b in zip(words.start[where].tolist(), words.end[where + window - 1].tolist(), strict=True)])
-            digests, text = np.frombuffer(hashed, np.int64), words.text[where]
-            hot = _has(common, _cells(value))
-            value[hot] = _mix(value[hot] ^ digests[hot].view(np.uint64) * np.uint64(_BASE))
-            value = value.view(np.int64)
-            doc, version = (piece.column(c).to_numpy(zero_copy_only=False)[text] for c in ("_key", "_version"))
-            start = where - words.first[text]
-            later = _settle(value, digests, doc, version, start)
-            yield _spans(doc[later], version[later], start[later])
-            value, digests, doc, version, start, at, text = (x[~later] for x in (value, digests, doc, version, start, at, text))
-            first, n = _runs(at, value, text, start=start)
-            if len(first):
-                yield _rows(value[first], doc[first], version[first], start[first], n, digests)
+        estimated, digest = shared.value, xxhash.xxh3_64_digest
+        for piece in pieces(batches, limit=TEXT_BYTES):
+            keys, versions = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_version"))
+            for owner, skipped, words in held_words(raw(piece), window):
+                where, value, at = anchors(words, window, shingle)
+                known = estimated.repeated(value)
+                where, value, at = where[known], value[known], at[known]
+                buffer = words.buffer
+                hashed = b"".join([digest(buffer[a:b]) for a, b in zip(words.start[where].tolist(), words.end[where + window - 1].tolist(), strict=True)])
+                digests, text = np.frombuffer(hashed, np.int64), words.text[where]
+                hot = estimated.common(value)
+                value[hot] = _mix(value[hot] ^ digests[hot].view(np.uint64) * np.uint64(_BASE))
+                value = value.view(np.int64)
+                doc, version = keys[owner[text]], versions[owner[text]]
+                start = where - words.first[text] + skipped[text]
+                later = _settle(value, digests, doc, version, start)
+                yield _spans(doc[later], version[later], start[later])
+                value, digests, doc, version, start, at, text = (x[~later] for x in (value, digests, doc, version, start, at, text))
+                first, n = _runs(at, value, text, start=start)
+                if len(first):
+                    yield _rows(value[first], doc[first], version[first], start[first], n, digests)
 
     found = docs.select("_key", "_version", "text").mapInArrow(estimate, _FOUND)
     grouped = found.repartition("anchor").sortWithinPartitions("anchor")
@@ -252,7 +347,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
         first = ~later
         return _spans(doc[later], version[later], start[later]), _rows(anchor[first], doc[first], version[first], start[first], np.ones(first.sum(), np.int64), digests[first])
 
-    return grouped.mapInArrow(exact, _FOUND).select("_key", "_version", "start", "n")
+    out = checkpointed(grouped.mapInArrow(exact, _FOUND).select("_key", "_version", "start", "n"))
+    shared.destroy()
+    return out
+
+
+def _covered(spans: list[dict], window: int) -> Iterator[bool]:
+    """For each word of a text in turn whether it stays; without end."""
+    at = 0
+    for a, b in sorted((s["start"], s["start"] + s["n"] + window - 1) for s in spans):
+        if b > at:
+            yield from repeat(True, max(0, a - at))
+            yield from repeat(False, b - max(a, at))
+            at = b
+    yield from repeat(True)
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
@@ -262,14 +370,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
     of its words joined by single spaces. doc_id must be an integer; a null one comes before
     all others. A null text has no words and stays null. Rows that repeat a document id are
     the same document: a window is earlier in one of them only by its place. Input columns
-    of the three names are replaced; further columns pass through.
+    of the three names are replaced; further columns pass through. An empty table gives an empty one. Only texts
+    with spans are joined back, by a broadcast where the spans are few.
     """
     docs = docs.drop("_n_words", "_n_removed", "_kept_sha256")
     key, version, held = (free_name(x, docs.columns) for x in ("_key", "_version", "_spans"))
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), version: F.xxhash64("text")})
     spans = repeated_spans(keyed.select(F.col(key).alias("_key"), F.col(version).alias("_version"), "text"), window, shingle, heavy)
-    by_text = spans.groupBy(F.col("_key").alias(key), F.col("_version").alias(version)).agg(F.collect_list(F.struct("start", "n")).alias(held))
-    joined = keyed.join(by_text, [key, version], "left").drop(key, version)
+    by_text = checkpointed(spans.groupBy(F.col("_key").alias(key), F.col("_version").alias(version)).agg(F.collect_list(F.struct("start", "n")).alias(held)))
+    joined = keyed.join(sent(by_text, 16 + 24 * F.size(held)), [key, version], "left").drop(key, version)
     names = docs.columns
     schema = joined.drop(held).schema.add("_n_words", "long").add("_n_removed", "long").add("_kept_sha256", "string")
 
@@ -277,22 +386,23 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
         for piece in pieces(batches):
             total, removed, digests, kept = [], [], [], []
             for data, text, spans in zip(raw(piece), piece.column("text").to_pylist(), piece.column(held).to_pylist(), strict=True):
-                words = data.split()
-                total.append(len(words))
-                if spans:
-                    step = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(step, [s["start"] for s in spans], 1)
-                    np.add.at(step, [s["start"] + s["n"] + window - 1 for s in spans], -1)
-                    keep = np.cumsum(step[:-1]) == 0
-                    removed.append(len(words) - int(keep.sum()))
-                    words = list(compress(words, keep.tolist()))
-                    joined = b" ".join(words)
-                    kept.append(joined.decode("utf-8"))
-                else:
-                    joined = b" ".join(words)
-                    removed.append(0)
-                    kept.append(text)
-                digests.append(hashlib.sha256(joined).hexdigest())
+                n_words, n_kept, digest, parts = 0, 0, hashlib.sha256(), []
+                covered = _covered(spans, window) if spans else None
+                for section in sections(data):
+                    words = section.split()
+                    n_words += len(words)
+                    if covered is not None:
+                        words = list(compress(words, islice(covered, len(words))))
+                    if words:
+                        joined = b" ".join(words)
+                        digest.update(b" " + joined if n_kept else joined)
+                        n_kept += len(words)
+                        if covered is not None:
+                            parts.append(joined)
+                total.append(n_words)
+                removed.append(n_words - n_kept)
+                digests.append(digest.hexdigest())
+                kept.append(text if covered is None else b" ".join(parts).decode("utf-8"))
             columns = [pa.array(kept, pa.string()) if c == "text" else piece.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=[*names, "_n_words", "_n_removed", "_kept_sha256"])
 

@@ -64,3 +64,11 @@ def test_given_documents_and_awkward_rows(spark):
         want = plain_components({r["doc_id"]: r["text"] for r in table.collect() if r["doc_id"] is not None})
         assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table).collect()} == want
     assert jaccard.near_duplicates(fixtures.empty(spark)).count() == 0
+
+
+def test_blocks_of_the_bitmap(spark):
+    cells = spark.createDataFrame([(5,), (13,), (3 << 20,)], "cell long")
+    assert {k: v.tolist() for k, v in jaccard.bitmap(cells, 3).items()} == {0: [1 << 5 | 1]}
+    blocks = jaccard.bitmap(cells, 22)
+    assert set(blocks) == {0, (3 << 20) >> 16}
+    assert jaccard._has(blocks, jaccard.np.array([5, 6, 13, 3 << 20, 1 << 21]), 22).tolist() == [True, False, True, True, False]

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from tests.llm import fixtures
 from tests.llm.test_decontam import plain
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_jaccard import plain_components
 from tests.llm.test_substring import plain as plain_repeats
 
 
@@ -14,7 +14,7 @@ def test_each_stage_against_brute_force(spark):
     good = spark.createDataFrame(good.collect(), docs.schema)
     before = {r["doc_id"]: r["text"] for r in good.collect()}
     first = stage["near_dedup"](spark, good, fixtures.SF)
-    component = plain_components({i: plain_fingerprint(t) for i, t in before.items()})
+    component = plain_components(before)
     assert {r["doc_id"] for r in first.collect()} == {i for i, c in component.items() if i == c}
     cut = stage["substring_dedup"](spark, first, fixtures.SF)
     kept = plain_repeats([(r["doc_id"], r["text"]) for r in first.collect()])
@@ -38,5 +38,19 @@ def test_awkward_rows_and_empty_tables(spark, tmp_path):
         return folder
 
     awkward = fixtures.clashing(fixtures.frame(spark, [(None, "null id", None, None, None), (3, "word", "en", "src0", 4)]))
-    assert corpus_pipeline.run(spark, write("rows", awkward)).count() > 5
+    folder = write("rows", awkward)
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert None in {r["doc_id"] for r in packed} and len({r["doc_id"] for r in packed}) > 5
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, awkward, folder).columns == list(corpus_pipeline.COLUMNS)
     assert corpus_pipeline.run(spark, write("none", fixtures.empty(spark))).count() == 0
+
+
+def test_near_dedup_of_repeated_and_clashing_ids(spark):
+    """Rows of one id are told apart by their texts: none goes with another's copy, and of equal rows one stays."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 1), (3, text, "en", "s", 1), (3, "a text of its own, with seven words", "en", "s", 1), (5, "twice the same row", "en", "s", 1), (5, "twice the same row", "en", "s", 1)]
+    rows += [(None, text, None, None, None), (None, text, None, None, None), (7, None, "en", "s", 0), (8, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, fixtures.SCHEMA).repartition(4)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, fixtures.SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, text), (3, rows[2][1]), (5, rows[3][1]), (0, text), (0, text), (7, "")])

@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import substring
+from tessera.session import checkpointed
 from tests.llm import fixtures
 
 
@@ -74,10 +77,43 @@ def test_given_documents(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == plain(docs)
 
 
-def test_bitmap_and_least(spark):
-    cells = spark.createDataFrame([(5,), (13,), (3 << 20,)], "cell long")
-    assert substring.bitmap(cells, 3).tolist() == [1 << 5 | 1]
-    large = substring.bitmap(cells, 22)
-    assert substring.np.flatnonzero(substring.np.unpackbits(large, bitorder="little")).tolist() == [5, 13, 3 << 20]
-    value, at = substring._least(substring.np.array([3, 1, 1, 2]), 2)
+def test_merged_sketches_never_underestimate(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4, rng.integers(0, 90)))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    value = np.concatenate([v[np.concatenate([[True], np.diff(at) != 0])] for _, _, words in substring.held_words([t.encode() for _, t in docs], 20) for _, v, at in [substring.anchors(words, 20, 8)]])
+    values, counts = np.unique(value, return_counts=True)
+    for bits in (16, 20):
+        estimate = substring.Estimate(checkpointed(substring.sketch(frame, bits)), bits, 3)
+        assert estimate.repeated(values[counts > 1]).all() and estimate.common(values[counts > 2]).all()
+        assert estimate.repeated(values[counts == 1]).mean() < 0.1
+    assert not substring.Estimate(checkpointed(substring.sketch(frame.limit(0), 16)), 16, 3).twice.any()
+
+
+def test_width_follows_the_text_up_to_a_bound(spark):
+    docs = fixtures.frame(spark)
+    assert substring.MIN_BITS == substring.sketch_bits(docs) < substring.sketch_bits(docs.select(F.repeat("text", 30).alias("text"))) <= substring.MAX_BITS
+    assert substring.sketch_bits(fixtures.empty(spark)) == substring.MIN_BITS
+
+
+def test_long_texts_in_sections(spark, monkeypatch):
+    text = " ".join(f"w{i % 977} {i}\t" for i in range(2000)).encode()
+    full = substring.Words([text])
+    where, value, at = substring.anchors(full, 20, 8)
+    monkeypatch.setattr(substring, "TEXT_BYTES", 500)
+    got = []
+    for owner, skipped, words in substring.held_words([b"", b"a b", text], 20):
+        w, v, _ = substring.anchors(words, 20, 8)
+        part = words.text[w]
+        assert set(owner[part]) <= {2}
+        got += zip((w - words.first[part] + skipped[part]).tolist(), v.tolist())
+    assert got == list(zip(where.tolist(), value.tolist()))
+    long = " ".join(f"x{i}" for i in range(400_000))
+    docs = [(0, long), (1, "head " + long[-3000:] + " tail " + long[:3000]), (2, long)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["_n_removed"] for r in substring.drop_repeats(frame).collect()}[2] == 400_000
+
+
+def test_least():
+    value, at = substring._least(np.array([3, 1, 1, 2]), 2)
     assert (value.tolist(), at.tolist()) == ([1, 1, 1], [1, 1, 2])
