@@ -5,8 +5,9 @@ known language. Texts are lower-cased, and runs of anything but letters become o
 space. Each order's n-grams of all languages share one sorted array of hashes, with a row
 of log-probabilities, one column a language; back-off weights of histories are kept the same
 way. A text's language is the one with the lowest cross-entropy per character. Its score is
-a softmax of the cross-entropies with a temperature fitted on further known documents;
-a text is rejected where it has no letter, or where the score is below a given bound.
+a softmax of the cross-entropies with a temperature fitted on further known documents.
+On these also the bound of rejection is calibrated: the least score from which on at least PRECISION of the answers
+are right. A text is rejected where it has no letter, or where its score is below that bound.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ORDER, TRAIN_ROWS, FIT_ROWS, MAX_LANGUAGES = 4, 1000, 200, 200
 MARGIN = 4
 #: Characters that count for the score's softmax at most, and the temperatures tried.
 SCORE_CHARS, TEMPERATURES = 400, np.geomspace(0.01, 4, 40)
+#: Share of right answers that the bound of rejection keeps, among the known documents it is fitted on.
+PRECISION = 0.99
 #: Code points assumed for the uniform distribution below the lowest order.
 ALPHABET = 1 << 16
 UNDETERMINED = "und"
@@ -100,7 +103,7 @@ class Models:
 
     def __init__(self, by_language: dict[str, list]):
         self.languages = sorted(by_language)
-        self.temperature = 1.0
+        self.temperature, self.reject_below = 1.0, 0.0
         self.order = ORDER
         columns = len(self.languages)
         self.grams, self.logs, self.histories, self.weights = [], [], [], []
@@ -217,15 +220,27 @@ def fit(known: DataFrame, rows: int = TRAIN_ROWS, fit_rows: int = FIT_ROWS) -> M
         truth = np.array([y for _, y in held])
         loss = [-np.log(np.maximum(models.scores(entropies, sizes, t)[np.arange(len(truth)), truth], 1e-4)).mean() for t in TEMPERATURES]
         models.temperature = float(TEMPERATURES[int(np.argmin(loss))])
+        scores = models.scores(entropies, sizes)
+        models.reject_below = calibrate(scores.max(axis=1), np.argmin(entropies, axis=1) == truth)
     return models
 
 
-def identify(docs: DataFrame, models: Models, reject_below: float = 0.0) -> DataFrame:
-    """(doc_id, lang_pred, score), from texts alone.
+def calibrate(scores: np.ndarray, right: np.ndarray, precision: float = PRECISION) -> float:
+    """The least bound such that of the answers with that score or more a share of precision is right; above all scores if there is none."""
+    order = np.argsort(-scores, kind="stable")
+    share = np.cumsum(right[order]) / (np.arange(len(order)) + 1)
+    last = np.append(np.diff(scores[order]) != 0, True)  # equal scores are taken together
+    good = np.flatnonzero((share >= precision) & last)
+    return float(scores[order][good[-1]]) if len(good) else float(np.nextafter(scores.max(), 2)) if len(scores) else 0.0
 
-    A null text or one without letters is und with score 0, and so is every text if no
-    language was learned. A text whose score is below reject_below is und, with that score. Equal texts
-    get equal answers; ties go to the language whose name sorts first. Further columns are ignored.
+
+def identify(docs: DataFrame, models: Models, reject: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected), from texts alone.
+
+    A null text or one without letters is und with score 0 and rejected, and so is every text if no
+    language was learned. A text whose score is below the models' calibrated bound is rejected; with reject its lang_pred is und
+    too. Equal texts get equal answers; ties go to the language whose name sorts first. Further columns are ignored; an empty
+    table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -234,19 +249,20 @@ def identify(docs: DataFrame, models: Models, reject_below: float = 0.0) -> Data
         for piece in pieces(batches):
             codes = [encode(x) for x in texts(piece)]
             sizes = np.array([len(x) - own.order + 1 for x in codes])
-            names, scores = [UNDETERMINED] * len(codes), np.zeros(len(codes))
+            names, scores, rejected = [UNDETERMINED] * len(codes), np.zeros(len(codes)), np.ones(len(codes), bool)
             held = np.flatnonzero(sizes > 0)
             if len(held) and own.languages:
                 entropies = own.entropies([codes[i] for i in held])
                 best = np.argmin(entropies, axis=1)
                 scores[held] = own.scores(entropies, sizes[held])[np.arange(len(held)), best]
+                rejected[held] = scores[held] < own.reject_below
                 for i, k in zip(held.tolist(), best.tolist(), strict=True):
-                    if scores[i] >= reject_below:
+                    if not (reject and rejected[i]):
                         names[i] = own.languages[k]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -257,4 +273,4 @@ def fold(doc_id: str = "doc_id") -> Column:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = identify(docs, fit(docs.where(fold() != 0)))
-    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")

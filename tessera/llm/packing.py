@@ -3,7 +3,7 @@
 Each document is tokenised and ended by a separator id. Its full sequences are
 cut off first; the remainders are packed by first-fit decreasing, where a
 tournament tree over the bins' free capacities finds the first bin that fits in
-logarithmic time. Documents are dealt at random (by a hash of their id) to groups
+logarithmic time. Documents are dealt at random (by a hash of their id and place) to groups
 of about GROUP_DOCS, and each group is packed on its own, so a task's work and
 memory don't grow with the input. Only lengths and checksums are shuffled.
 """
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, sequence: int = S
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "start": start, "length": length, "ids_crc32": crcs, "doc_tokens": tokens[row], "sequence_id": (int(key[0]) << 32) + at, "offset": offset})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = tokenised(docs, path, ranks, sequence, separator).withColumn("_group", F.pmod(F.xxhash64("doc_id", F.col("crcs")), F.lit(groups)))
+    dealt = tokenised(docs, path, ranks, sequence, separator).withColumn("_group", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(run, f"doc_id {kind}, {PIECES}")
 
 

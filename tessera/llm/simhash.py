@@ -216,9 +216,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     classes = checkpointed(nodes.join(linked, "node", "left").select("fp", "size", F.coalesce("component", "node").alias("component_id")))
     # a fingerprint of very many copies would be one key of the join: those few are broadcast
     most = F.broadcast(classes.where(F.col("size") >= COPIES).orderBy(F.col("size").desc(), "fp").limit(HEAVY).select("fp", F.col("component_id").alias("heavy")))
-    told = checkpointed(prints.join(most, "fp", "left").withColumn("known", F.col("heavy").isNotNull()))
-    rest = told.where("not known").select("doc_id", "fp").join(classes.select("fp", "component_id"), "fp")
-    return told.where("known").select("doc_id", "fp", F.col("heavy").alias("component_id")).union(rest.select("doc_id", "fp", "component_id"))
+    few = prints.join(most, "fp").select("doc_id", "fp", F.col("heavy").alias("component_id"))
+    rest = prints.join(most, "fp", "left_anti").join(classes.select("fp", "component_id"), "fp")
+    return few.union(rest.select("doc_id", "fp", "component_id"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r["held_out"]]
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.97 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got)
+    kept = [r for r in held if not r["rejected"]]
+    assert len(kept) >= 0.9 * len(held) and sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in kept) >= 0.98 * len(kept)
 
 
 def test_awkward_rows(spark):
@@ -27,7 +29,19 @@ def test_awkward_rows(spark):
     assert {(r["lang_pred"]) for r in got if r["doc_id"] == 0} == {"und", "en"}
     assert all(r["lang_pred"] == "und" for r in langid.identify(docs, langid.fit(known.limit(0))).collect())
     assert langid.identify(fixtures.empty(spark), models).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(docs, models, reject_below=1.1).collect()} == {"und"}
+    models.reject_below = 1.1
+    assert {r["lang_pred"] for r in langid.identify(docs, models, reject=True).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(docs, models).collect() if not r["rejected"]} == set()
+
+
+def test_calibrated_bound():
+    scores, right = np.array([0.9, 0.8, 0.7, 0.7, 0.6, 0.5]), np.array([True, True, True, False, True, False])
+    for precision in (0.5, 0.75, 0.8, 0.99, 1.0):
+        bound = langid.calibrate(scores, right, precision)
+        fine = [b for b in scores if right[scores >= b].mean() >= precision]
+        assert bound == min(fine)
+    assert langid.calibrate(np.array([0.4, 0.4]), np.array([True, False]), 0.9) > 0.4
+    assert langid.calibrate(np.empty(0), np.empty(0, bool)) == 0
 
 
 def test_probabilities_sum_to_one():
