@@ -23,14 +23,29 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+#: Bytes of an Arrow batch between Spark and Python at most.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by BATCH_BYTES, where it hasn't a smaller bound: rows of long texts otherwise make batches of tens of MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and written to the checkpoint folder that the cluster shares.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one
-    (tests on one machine) gets a temporary folder.
+    The folder is the session's spark.checkpoint.dir. A session without one gets a temporary folder
+    if all of it runs on this machine (tests, bench.py); on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
