@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -11,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import small_batches
+
 #: Bytes of text that a Python operator holds decoded at once (a longer document is a piece of its own).
 PIECE_BYTES = 1 << 20
 #: Bytes of a section of a long text, and of a table that is broadcast at most.
@@ -20,11 +24,12 @@ SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut by rows so that a piece has about limit bytes in column."""
+    """The batches, cut by rows so that a piece has about limit bytes in column. At the end the worker gives freed memory back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,6 +41,14 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns what Arrow and the C library hold without using it; a worker lives on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def free_name(name: str, taken: Iterable[str]) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import pieces, table, texts
 
 #: Tokens of a sequence, the id that ends a document, documents of a group, segments whose ids a worker keeps.
-SEQUENCE, SEPARATOR, GROUP_DOCS, KEPT_SEGMENTS = 1024, 0, 8192, 600_000
+SEQUENCE, SEPARATOR, GROUP_DOCS, KEPT_SEGMENTS = 1024, 0, 8192, 250_000
 #: Characters below this one are letters, digits, signs and spaces that both libraries class alike.
 LATIN_END = "\u0180"
 
