@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, packing, quality, substring
 from tessera.llm.common import sent
-from tessera.session import checkpointed
+from tessera.session import checkpointed, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,6 +55,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences, as op8_packing packs them; repeated rows each on their own, a null text as its separator."""
+    small_batches(spark)
     return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -66,6 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the checkpoint folder for the next."""
+    small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
