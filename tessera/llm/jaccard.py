@@ -14,7 +14,7 @@ are in different components after ROUNDS of that are compared pair by pair.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ HASH_BYTES = 1 << 20
 BITS, BLOCK_BITS = 24, 16
 #: Rounds in which each set is compared with leaders, and leaders of a shingle in each.
 ROUNDS, LEADERS = 1, 4
+#: Words of 64 bits in the bitmap of a set's open shingles.
+LANES = 4
 #: Pairs of one leader that a task compares.
 PART = 256
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -149,11 +151,27 @@ def _has(blocks: dict[int, np.ndarray], cells: np.ndarray, bits: int = BITS) ->
     return out
 
 
-def _possible(n: Column, at: Column, m: Column, by: Column) -> Column:
-    """Whether sets of n and m shingles that share the one at places at and by (from 0) can be linked."""
+def _possible(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether two sets that share the shingle at their place at (from 0) can be linked.
+
+    Before that place they can share at most as many shingles as the one with fewer open ones has there.
+    """
     of, over = SIMILAR
-    most = F.least(at, by) + 1 + F.least(n - at - 1, m - by - 1)
-    return (F.least(n, m) * over >= F.greatest(n, m) * of) & (most * (of + over) >= (n + m) * of)
+    most = F.least(a("before"), b("before")) + 1 + F.least(a("n") - a("at") - 1, b("n") - b("at") - 1)
+    return (F.least(a("n"), b("n")) * over >= F.greatest(a("n"), b("n")) * of) & (most * (of + over) >= (a("n") + b("n")) * of)
+
+
+def _first_shared(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether the shingle may be the first one that two linked sets share: all that they must share lie from there on.
+
+    Their open shingles must overlap enough, too: of a set's, those whose bit the other lacks aren't shared.
+    """
+    of, over = SIMILAR
+    need = F.ceil((a("n") + b("n")) * of / (of + over))
+    rest = F.greatest(F.ceil(a("n") * of / over), F.ceil(b("n") * of / over)) - 1
+    alone = lambda p, q: sum((F.bit_count(p(f"bits{i}").bitwiseAND(F.bitwise_not(q(f"bits{i}")))) for i in range(LANES)), F.lit(0))
+    both = F.least(a("open") - alone(a, b), b("open") - alone(b, a))
+    return (a("at") <= a("n") - need) & (b("at") <= b("n") - need) & (both + rest >= need)
 
 
 def _candidates(met: DataFrame) -> DataFrame:
@@ -248,11 +266,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     open_ = entries.withColumn("size", F.count(F.lit(1)).over(group)).where("size > 1").drop("size")
     open_ = _different(open_.withColumn("component", F.col("key")), linked, group)
     for r in range(ROUNDS):
-        leads = [F.min(F.struct(F.xxhash64("key", F.lit(LEADERS * r + k)).alias("order"), "key", "id", "n", "at", "component")).over(group) for k in range(LEADERS)]
+        # the first leader is the set with the most open shingles for its size, the one most like the others
+        orders = [-F.col("open") / F.col("n"), *[F.xxhash64("key", F.lit(LEADERS * r + k)) for k in range(1, LEADERS)]]
+        leads = [F.min(F.struct(x.alias("order"), "key", "id", "n", "at", "before", "component")).over(group) for x in orders]
         led = open_.select("*", *[x.alias(f"lead{k}") for k, x in enumerate(leads)])
-        several = [F.struct(*[f"lead{k}.{c}" for c in ("key", "id", "n", "at", "component")]) for k in range(LEADERS)]
+        several = [F.struct(*[f"lead{k}.{c}" for c in ("key", "id", "n", "at", "before", "component")]) for k in range(LEADERS)]
         led = led.withColumn("lead", F.explode(F.array_distinct(F.array(*several))))
-        led = led.where(F.col("lead.component") != F.col("component")).where(_possible(F.col("lead.n"), F.col("lead.at"), F.col("n"), F.col("at")))
+        led = led.where(F.col("lead.component") != F.col("component")).where(_possible(lambda c: F.col(f"lead.{c}"), F.col))
         swap = F.col("lead.key") > F.col("key")
         of = [F.when(swap, F.col(own)).otherwise(F.col(f"lead.{own}")) for own in ("key", "id", "n")]
         to = [F.when(swap, F.col(f"lead.{own}")).otherwise(F.col(own)) for own in ("key", "id", "n")]
@@ -265,9 +285,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
         open_ = _different(open_, linked, group)
     x, y = open_.alias("x"), open_.alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-    met = met.where(_possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    met = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-    linked = linked.union(verified(docs, checkpointed(_candidates(met).join(done.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "a_id", "b_id"), words))
+    met = met.where(_possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & _first_shared(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    met = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id")).distinct()
+    linked = linked.union(verified(docs, checkpointed(met.join(done.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "a_id", "b_id"), words))
 
     component = checkpointed(firsts.select("key").join(connected_components(linked).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     # copies of one text are few rows of one key after this partial aggregation
@@ -278,8 +298,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 def _different(entries: DataFrame, linked: DataFrame, group: WindowSpec) -> DataFrame:
-    """entries with their components over the links so far, where a shingle's sets are in several."""
+    """entries with their components over the links so far, where a shingle's sets are in several: the open ones.
+
+    Sets of different components share only open shingles. open: those of a set; before: those before this one; bits0 and on: a bitmap of them.
+    """
     known = connected_components(linked).withColumnRenamed("node", "key")
-    out = entries.drop("component").join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    out = entries.select("key", "id", "n", "at", "shingle").join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
     out = out.withColumn("some", F.min("component").over(group)).withColumn("other", F.max("component").over(group)).where("some <> other")
-    return checkpointed(out.drop("some", "other"))
+    own = Window.partitionBy("key").orderBy("at")
+    out = out.drop("some", "other").withColumn("before", F.row_number().over(own) - 1)
+    place, whole = F.xxhash64("shingle"), Window.partitionBy("key")
+    lane, bit = F.pmod(F.shiftright(place, 6), F.lit(LANES)), F.expr("shiftleft(1L, cast(xxhash64(shingle) & 63 as int))")
+    lanes = {f"bits{i}": F.bit_or(F.when(lane == i, bit).otherwise(F.lit(0))).over(whole) for i in range(LANES)}
+    return checkpointed(out.withColumns({"open": F.count(F.lit(1)).over(whole), **lanes}))
