@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import agent, conversation, documents, retrieval
+from tessera.plans import accounts, agent, conversation, documents, retrieval
 
-_MODULES = (retrieval, agent, conversation, documents)
+_MODULES = (retrieval, agent, conversation, accounts, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

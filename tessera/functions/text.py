@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE_ENDS = r"(?U)^\s+|\s+$"
+#: White space and the separators 1C to 1F, at both ends.
+SPACE_ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
 
 
 def strip_space(s: Column) -> Column:
@@ -21,9 +22,9 @@ def strip_think(s: Column) -> Column:
 
 
 def get_final(s: Column) -> Column:
-    """Takes the text after the first final marker, then from the first JSON marker's brace; each only if present."""
+    """Takes the text after the first final marker (as it is spelt), then from the brace after the first JSON marker (in any case, white space between); each only if present."""
     cut = lambda x, p: F.when(x.rlike(p), strip_space(F.regexp_extract(x, p, 1))).otherwise(x)
-    return cut(cut(s, r"(?is)assistantfinal\s*(.*)"), r"(?is)json\s?(\{.*)")
+    return cut(cut(s, r"(?s)assistantfinal\s*(.*)"), r"(?is)json\s*(\{.*)")
 
 
 def parse_field(s: Column, name: str) -> Column:

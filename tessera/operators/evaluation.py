@@ -17,9 +17,16 @@ def flatten(source: DataFrame) -> DataFrame:
 
 
 def with_defaults(questions: DataFrame) -> DataFrame:
-    """Missing ids become Q_<number in the flat order>, missing texts empty, missing guidelines 'unknown'."""
-    number = F.row_number().over(Window.orderBy("guideline", "pos"))
-    return questions.select(
+    """Missing ids become Q_<number in the flat order>, missing texts empty, missing guidelines 'unknown'.
+
+    Questions are numbered within their guideline; only the guidelines' sizes are ordered as a whole.
+    """
+    own = F.row_number().over(Window.partitionBy("guideline").orderBy("pos"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("guideline").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = questions.groupBy("guideline").agg(F.count(F.lit(1)).alias("size")).select(F.col("guideline").alias("_g"), before.alias("_before"))
+    numbered = questions.withColumn("_n", own).join(sizes, F.col("guideline").eqNullSafe(F.col("_g")))
+    number = F.col("_n") + F.col("_before")
+    return numbered.select(
         F.coalesce("guideline", F.lit("unknown")).alias("guideline"), "guideline_name", "pos", F.coalesce("id", F.concat(F.lit("Q_"), number.cast("string"))).alias("id"), F.coalesce("question", F.lit("")).alias("question")
     )
 

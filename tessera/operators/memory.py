@@ -36,10 +36,16 @@ def history(turns: DataFrame, n: int, newest_first: bool = True) -> DataFrame:
 
 
 def coerce(items: DataFrame) -> DataFrame:
-    """Fills what a stored turn lacks: its ids from key and namespace; an empty value counts as missing."""
+    """Fills what a stored turn lacks: its ids from key and namespace, its time from the item's; an empty value or object counts as missing.
+
+    items: (namespace, key, value, created_at, seq).
+    """
+    field = lambda name: F.nullif(F.get_json_object("value", f"$.{name}"), F.lit(""))
     return items.select(
-        F.coalesce(F.nullif(F.get_json_object("value", "$.message_id"), F.lit("")), F.col("key")).alias("message_id"),
-        F.coalesce(F.nullif(F.get_json_object("value", "$.session_id"), F.lit("")), F.get("namespace", F.lit(1))).alias("session_id"),
-        F.coalesce(F.get_json_object("value", "$.question"), F.lit("")).alias("question"),
+        F.coalesce(field("message_id"), F.col("key")).alias("message_id"),
+        F.coalesce(field("session_id"), F.get("namespace", F.lit(1))).alias("session_id"),
+        F.coalesce(field("question"), F.lit("")).alias("question"),
+        F.coalesce(field("created_at"), F.col("created_at")).alias("created_at"),
+        F.coalesce(field("metadata"), F.lit("{}")).alias("metadata"),
         "seq",
     )

@@ -19,6 +19,8 @@ from tessera.session import checkpointed
 
 #: About so many query vectors are broadcast at once; more are taken in further blocks.
 MAX_QUERIES = 10_000
+#: Vectors that a task scores against a block of queries at once.
+ROWS = 1024
 
 
 def _blocks(queries: DataFrame) -> list[DataFrame]:
@@ -57,6 +59,7 @@ def ranked(scored: DataFrame, k: int, key: str = "qid", item: str = "vec_id", sc
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact top-k of many query vectors by blocked matrix products: (qid, vec_id, score, rank).
 
+    A vector is never its own neighbour (by id). Null and zero vectors have no neighbours and are none.
     Of several blocks of queries each is searched and written to the checkpoint folder before the next is read.
     """
     blocks = _blocks(queries)
@@ -65,27 +68,37 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return reduce(DataFrame.unionAll, [checkpointed(_knn_block(vectors, block, k)) for block in blocks])
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each column's k best scores, ties to the smaller id; -inf is no score."""
+    k = min(k, len(scores))
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    rows, columns = np.nonzero((scores >= least) & np.isfinite(scores))
+    order = np.lexsort((ids[rows], -scores[rows, columns], columns))
+    rows, columns = rows[order], columns[order]
+    first = np.flatnonzero(np.diff(columns, prepend=-1))
+    place = np.arange(len(columns)) - np.repeat(first, np.diff(np.append(first, len(columns))))
+    return rows[place < k], columns[place < k]
+
+
 def _knn_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.collect()
-    ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    table = queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec")).toArrow()
+    ids = table.column("qid").to_numpy()
+    width = len(table.column("qvec")[0]) if len(ids) else 0
+    matrix = np.array(table.column("qvec").combine_chunks().flatten().to_numpy() if len(ids) else [], np.float64).reshape(len(ids), width)
     norm = np.sqrt((matrix * matrix).sum(axis=1))
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            vec = pdf["vec_id"].to_numpy()
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.round(data @ matrix.T / (np.sqrt((data * data).sum(axis=1))[:, None] * norm), 6)
-            for j, qid in enumerate(ids):
-                s = np.where((vec == qid) | ~np.isfinite(scores[:, j]), -np.inf, scores[:, j])
-                best = np.lexsort((vec, -s))[:k]
-                best = best[np.isfinite(s[best])]
-                yield pd.DataFrame({"qid": qid, "vec_id": vec[best], "score": s[best]})
-
-    partial = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInPandas(block, "qid long, vec_id long, score double")
+            for at in range(0, len(pdf) if len(ids) else 0, ROWS):
+                part = pdf.iloc[at : at + ROWS]
+                data, vec = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["vec_id"].to_numpy()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.round(data @ matrix.T / (np.sqrt((data * data).sum(axis=1))[:, None] * norm), 6)
+                scores[~np.isfinite(scores) | (vec[:, None] == ids)] = -np.inf
+                row, column = _best(scores, vec, k)
+                yield pd.DataFrame({"qid": ids[column], "vec_id": vec[row], "score": scores[row, column]})
+
+    partial = vectors.where("embedding is not null and vec_id is not null").select("vec_id", "embedding").mapInPandas(block, "qid long, vec_id long, score double")
     return ranked(partial, k)
 
 

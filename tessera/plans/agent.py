@@ -1,46 +1,101 @@
 """The agent's nodes, edges and whole paths over the message log, with table-driven stand-ins for the models.
 
-A turn is a user row; turn_id is conv_id * 100 + turn. Its route, document request, candidate documents and
+A turn is a user row; turn_id is conv_id * 100 + turn. Its route, document request and
 the graders' answers are fixed functions of turn_id and labels, so the data flow and routing can be compared.
+Documents are retrieved by the search facade, over vectors of hashed words of the whole documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import machine
+from tessera.functions import text as T
+from tessera.operators import embedding, machine, search, sparse
+from tessera.plans.retrieval import VECTOR, _cos
+from tessera.sources.files import SearchConfig
 
 LIMIT = machine.LIMIT
 #: Retrievals and generations that a path can have.
 ROUNDS = 3
+#: Documents of a retrieval.
+K = 3
+#: What rewriting puts before a question.
+ASK = "Please explain: "
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
-    t = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.col("text").alias("question"))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("n_history", F.coalesce(F.sum(F.when(F.col("role").isin("user", "assistant"), 1).otherwise(0)).over(w), F.lit(0))).where("role = 'user'")
+    t = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.col("text").alias("question"), "n_history")
     k = F.col("turn_id")
     route = F.when(k % 10 < 2, "conversational").when(k % 10 == 4, "other").otherwise("document_based")
     numbers = F.sequence(F.lit(1), F.lit(ROUNDS))
     return t.select(
-        "turn_id", "question", route.alias("route"), F.when(k % 7 == 0, "yes").otherwise("no").alias("doc_request"),
+        "turn_id", "question", "n_history", F.trim(F.regexp_replace("question", r"[ \t\n\r]+", " ")).alias("contextual"), route.alias("route"), F.when(k % 7 == 0, "yes").otherwise("no").alias("doc_request"),
         F.transform(numbers, lambda g: (k * 3 + g) % 4 != 0).alias("grounded"), F.transform(numbers, lambda g: (k + g) % 3 == 0).alias("answered"),
     )
 
 
-def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(turn_id, r, j, doc_id, grade): the candidates of each retrieval; a missing label is a grader's error, which keeps."""
-    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(j).alias("j")) for r in range(1, ROUNDS + 1) for j in range(3)])).alias("c")
-    asked = _turns(spark, sf_dir).select("turn_id", cells).select("turn_id", "c.r", "c.j").withColumn("doc_id", F.pmod(F.col("turn_id") * 7 + F.col("r") * 3 + F.col("j"), F.lit(200)))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    grade = F.when((F.col("quality") == 0) | (F.col("doc_id") % 3 != 1), "no").when(F.col("quality") == 1, "yes")
-    return asked.join(labels, "doc_id", "left").select("turn_id", "r", "j", "doc_id", F.coalesce(grade, F.lit("yes")).alias("grade"))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> DataFrame:
+    """(turn_id, r, rank, doc_id, score): what the retriever gives for the contextual question, and for its rewritings in later rounds."""
+    asked = _turns(spark, sf_dir).where("route = 'document_based'").select("turn_id", "contextual", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("r"))
+    questions = asked.select((F.col("turn_id") * 10 + F.col("r")).alias("qid"), F.concat(F.repeat(F.lit(ASK), F.col("r") - 1), "contextual").alias("text"))
+    index = embedding.index(_documents(spark, sf_dir), sparse.terms(F.col("text")), F.col("source"))
+    found = search.make_searchable(index, SearchConfig.from_config({"top_k": K}))(questions)
+    return found.select(F.floor(F.col("qid") / 10).alias("turn_id"), (F.col("qid") % 10).cast("int").alias("r"), "rank", "doc_id", "score")
+
+
+def _graded(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> DataFrame:
+    """_retrieved with grade; a missing label is a grader's error, which keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    grade = F.when((F.col("quality") == 0) | (F.col("doc_id") % 3 == 1), "no").when(F.col("quality") == 1, "yes")
+    return _retrieved(spark, sf_dir, rounds).join(labels, "doc_id", "left").select("turn_id", "r", "rank", "doc_id", F.coalesce(grade, F.lit("yes")).alias("grade"))
+
+
+def _kept(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> DataFrame:
+    """(turn_id, r, docs): the documents that grading leaves, in rank order, as chunks; some lack a file name or a number."""
+    chunk = F.struct("rank", F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("filename"), F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 7).cast("string")).alias("chunk_id"), F.col("text").alias("content"))
+    return _graded(spark, sf_dir, rounds).where("grade = 'yes'").join(_documents(spark, sf_dir), "doc_id").groupBy("turn_id", "r").agg(F.array_sort(F.collect_list(chunk)).alias("docs"))
 
 
 def _machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _graded(spark, sf_dir).groupBy("turn_id", "r").agg(F.count_if(F.col("grade") == "yes").cast("int").alias("n"))
-    kept = counts.groupBy("turn_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "n"))), lambda x: x["n"]).alias("kept"))
-    return machine.run(_turns(spark, sf_dir).join(kept, "turn_id"))
+    by_round = counts.groupBy("turn_id").agg(F.map_from_entries(F.collect_list(F.struct("r", "n"))).alias("found"))
+    kept = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.coalesce(F.element_at("found", r), F.lit(0)))
+    return machine.run(_turns(spark, sf_dir).join(by_round, "turn_id", "left").withColumn("kept", kept).drop("found"))
+
+
+def _first_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, 1).select("turn_id", "docs")
+
+
+def build_context(spark, sf_dir):
+    named = F.transform("docs", lambda d: d.withField("filename", F.coalesce(d["filename"], F.lit("unknown"))))
+    return _first_docs(spark, sf_dir).select("turn_id", T.render_context(named).alias("context"))
+
+
+def build_facts(spark, sf_dir):
+    return _first_docs(spark, sf_dir).select("turn_id", T.render_facts(F.col("docs")).alias("facts"))
+
+
+def sources(spark, sf_dir):
+    return _first_docs(spark, sf_dir).select("turn_id", F.posexplode("docs").alias("pos", "d")).select("turn_id", "pos", F.coalesce("d.filename", F.lit("unknown")).alias("filename"), F.coalesce("d.chunk_id", F.lit("unknown")).alias("chunk_id"))
+
+
+def sources_distinct(spark, sf_dir):
+    return _first_docs(spark, sf_dir).select("turn_id", F.posexplode(T.source_list(F.col("docs"))).alias("pos", "d")).select("turn_id", "pos", "d.filename", "d.chunk_id")
+
+
+def doc_files(spark, sf_dir):
+    """The files named in the answer to a request for documents."""
+    asked = _turns(spark, sf_dir).where("doc_request = 'yes'").select("turn_id")
+    names = F.array_sort(F.array_distinct(F.transform("docs", lambda d: F.coalesce(d["filename"], F.lit("unknown")))))
+    return _first_docs(spark, sf_dir).join(asked, "turn_id").select("turn_id", F.concat(F.lit("You may look at: "), F.array_join(names, ", ")).alias("response"))
 
 
 def agent_trace(spark, sf_dir):
@@ -48,9 +103,13 @@ def agent_trace(spark, sf_dir):
 
 
 def agent_answer(spark, sf_dir):
-    last = F.element_at("trace", -1)
-    content = F.when(F.col("status") == "faulted", "Sorry, this could not be answered.").otherwise(F.concat(last, F.lit(": "), F.substring("question", 1, 40)))
-    return _machine(spark, sf_dir).select("turn_id", F.lit("assistant").alias("role"), content.alias("content"), F.col("g").alias("n_gen"), (F.col("status") == "faulted").alias("is_faulted"))
+    """The response of each turn: its text, the distinct sources of the last retrieval, the number of generations, the contextual question."""
+    m = _machine(spark, sf_dir).join(_kept(spark, sf_dir), ["turn_id", "r"], "left")
+    last, faulted = F.element_at("trace", -1), F.col("status") == "faulted"
+    used = F.when(last.isin("generate", "generate_document_response"), T.source_list(F.col("docs")))
+    listed = F.coalesce(F.array_join(F.transform(used, lambda d: F.concat(d["filename"], F.lit("#"), d["chunk_id"])), ";"), F.lit(""))
+    content = F.when(faulted, F.concat(F.lit("Sorry, this failed: unknown route of "), F.col("turn_id").cast("string"))).otherwise(F.concat(last, F.lit(": "), "question"))
+    return m.select("turn_id", F.lit("assistant").alias("role"), content.alias("content"), listed.alias("sources"), F.col("g").alias("n_gen"), F.col("contextual").alias("contextual_question"), faulted.alias("is_faulted"))
 
 
 def final_state(spark, sf_dir):
@@ -58,7 +117,10 @@ def final_state(spark, sf_dir):
 
 
 def fault_rows(spark, sf_dir):
-    return _machine(spark, sf_dir).where("status = 'faulted'").select("turn_id", "status")
+    """What the error handler says, in one of the allowed languages."""
+    exception = F.concat(F.lit("unknown route of "), F.col("turn_id").cast("string"))
+    said = F.concat(F.lit("("), F.lit("en"), F.lit(") Sorry, this failed: "), exception)
+    return _machine(spark, sf_dir).where("status = 'faulted'").select("turn_id", exception.alias("exception"), said.alias("response"))
 
 
 def route(spark, sf_dir):
@@ -70,23 +132,23 @@ def doc_request(spark, sf_dir):
 
 
 def contextualize(spark, sf_dir):
-    return _turns(spark, sf_dir).select("turn_id", F.trim(F.regexp_replace("question", r"[ \t\n\r]+", " ")).alias("contextual_question"), F.lit(0).alias("generation_count"), F.lit(0).alias("transform_query_count"))
+    return _turns(spark, sf_dir).select("turn_id", F.col("contextual").alias("contextual_question"), F.lit(0).alias("generation_count"), F.lit(0).alias("transform_query_count"))
 
 
 def conv_branch(spark, sf_dir):
-    return _turns(spark, sf_dir).where("route = 'conversational'").select("turn_id", F.concat(F.lit("echo: "), F.substring("question", 1, 40)).alias("response"))
+    """Small talk is answered from the question and the messages before it."""
+    said = F.concat(F.lit("echo after "), F.col("n_history").cast("string"), F.lit(" messages: "), "question")
+    return _turns(spark, sf_dir).where("route = 'conversational'").select("turn_id", said.alias("response"))
 
 
 def retrieve(spark, sf_dir):
-    """First-round candidates of document-based turns; a turn with no labelled candidate keeps one row."""
+    """The documents of each turn's first retrieval; a turn that finds none keeps one row."""
     asked = _turns(spark, sf_dir).where("route = 'document_based'").select("turn_id")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
-    found = _graded(spark, sf_dir).where("r = 1").join(labels, "doc_id", "left_semi").select("turn_id", "doc_id")
-    return asked.join(found, "turn_id", "left")
+    return asked.join(_retrieved(spark, sf_dir, 1).select("turn_id", "rank", "doc_id", "score"), "turn_id", "left")
 
 
 def grade_filter(spark, sf_dir):
-    return _graded(spark, sf_dir).where("grade = 'yes'").select("turn_id", "r", "j", "doc_id")
+    return _graded(spark, sf_dir).where("grade = 'yes'").select("turn_id", "r", "rank", "doc_id")
 
 
 def decide_generate(spark, sf_dir):
@@ -100,7 +162,7 @@ def validate_route(spark, sf_dir):
 
 
 def rewrite(spark, sf_dir):
-    return _turns(spark, sf_dir).select("turn_id", F.concat(F.lit("Please explain: "), F.substring("question", 1, 60)).alias("question"), F.lit(1).alias("transform_query_count"))
+    return _turns(spark, sf_dir).select("turn_id", F.concat(F.lit(ASK), "contextual").alias("question"), F.lit(1).alias("transform_query_count"))
 
 
 def rewrite_limit(spark, sf_dir):
@@ -109,21 +171,30 @@ def rewrite_limit(spark, sf_dir):
 
 def default_resp(spark, sf_dir):
     ended = F.element_at("trace", -1) == "generate_default_response"
-    return _machine(spark, sf_dir).where(ended).select("turn_id", F.concat(F.lit("No answer was found for: "), F.substring("question", 1, 40)).alias("response"), F.lit(0).alias("n_documents"))
+    return _machine(spark, sf_dir).where(ended).select("turn_id", F.concat(F.lit("No answer was found for: "), "question").alias("response"), F.lit(0).alias("n_documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (agent_trace, agent_answer, final_state, fault_rows, route, doc_request, contextualize, conv_branch, retrieve, grade_filter, decide_generate, validate_route, rewrite, rewrite_limit, default_resp)
+    for f in (build_context, build_facts, sources, sources_distinct, doc_files, agent_trace, agent_answer, final_state, fault_rows, route, doc_request, contextualize, conv_branch, retrieve, grade_filter, decide_generate, validate_route, rewrite, rewrite_limit, default_resp)
 }
 
-_BASE = f"""turns AS (SELECT conv_id * 100 + turn AS turn_id, text AS question,
+_BASE = f"""turns AS (SELECT conv_id * 100 + turn AS turn_id, text AS question, n_history, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS contextual,
     CASE WHEN (conv_id * 100 + turn) % 10 < 2 THEN 'conversational' WHEN (conv_id * 100 + turn) % 10 = 4 THEN 'other' ELSE 'document_based' END AS route,
-    CASE WHEN (conv_id * 100 + turn) % 7 = 0 THEN 'yes' ELSE 'no' END AS doc_request FROM conversations WHERE role = 'user'),
+    CASE WHEN (conv_id * 100 + turn) % 7 = 0 THEN 'yes' ELSE 'no' END AS doc_request
+    FROM (SELECT *, count(*) FILTER (WHERE role IN ('user', 'assistant')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_history FROM conversations) WHERE role = 'user'),
   numbers AS (SELECT n::INTEGER AS n FROM range(1, {ROUNDS + 1}) x(n)),
-  graded AS (SELECT turn_id, r, j, c.doc_id, CASE WHEN quality = 0 OR c.doc_id % 3 <> 1 THEN 'no' ELSE 'yes' END AS grade, l.doc_id IS NOT NULL AS labelled
-    FROM (SELECT turn_id, r.n AS r, j.j::INTEGER AS j, (turn_id * 7 + r.n * 3 + j.j) % 200 AS doc_id FROM turns, numbers r, range(3) j(j)) c LEFT JOIN labels l USING (doc_id)),
-  kept AS (SELECT turn_id, r, count(*) FILTER (WHERE grade = 'yes') AS n FROM graded GROUP BY ALL),
+  asked AS (SELECT turn_id, n AS r, {VECTOR} AS v FROM (SELECT turn_id, n, repeat('{ASK}', n - 1) || contextual AS text FROM turns, numbers WHERE route = 'document_based')),
+  embedded AS (SELECT doc_id, {VECTOR} AS v FROM documents),
+  found AS (SELECT turn_id, r, doc_id, score, row_number() OVER (PARTITION BY turn_id, r ORDER BY score DESC, doc_id)::INTEGER AS rank
+    FROM (SELECT turn_id, r, doc_id, {_cos("e.v", "a.v")} AS score FROM asked a, embedded e) WHERE isfinite(score) QUALIFY rank <= {K}),
+  quality AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
+  graded AS (SELECT f.*, CASE WHEN quality = 0 OR doc_id % 3 = 1 THEN 'no' ELSE 'yes' END AS grade FROM found f LEFT JOIN quality USING (doc_id)),
+  chunks AS (SELECT g.turn_id, g.r, g.rank, CASE WHEN doc_id % 5 <> 0 THEN source END AS filename, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 7)::VARCHAR END AS chunk_id, text AS content FROM graded g JOIN documents USING (doc_id) WHERE grade = 'yes'),
+  named AS (SELECT turn_id, r, rank, coalesce(filename, 'unknown') AS filename, coalesce(chunk_id, 'unknown') AS chunk_id, content FROM chunks),
+  firsts AS (SELECT turn_id, r, filename, chunk_id, min(rank) AS rank FROM named GROUP BY ALL),
+  counted AS (SELECT turn_id, r, count(*) FILTER (WHERE grade = 'yes') AS n FROM graded GROUP BY ALL),
+  kept AS (SELECT t.turn_id, k.n AS r, coalesce(c.n, 0) AS n FROM turns t CROSS JOIN numbers k LEFT JOIN counted c ON c.turn_id = t.turn_id AND c.r = k.n),
   outcomes AS (SELECT turn_id, n AS g, (turn_id * 3 + n) % 4 <> 0 AS grounded, (turn_id + n) % 3 = 0 AS answered FROM turns, numbers)"""
 _MACHINE = f"""WITH RECURSIVE {_BASE},
   path(turn_id, route, doc_request, step, node, g, t, r) AS (
@@ -153,21 +224,28 @@ _MACHINE = f"""WITH RECURSIVE {_BASE},
 
 ORACLES = {
     "agent_trace": f"{_MACHINE} SELECT turn_id, step::INTEGER AS step, node FROM nodes",
-    "agent_answer": f"""{_MACHINE} SELECT turn_id, 'assistant' AS role, CASE WHEN status = 'faulted' THEN 'Sorry, this could not be answered.' ELSE last_node || ': ' || question[1:40] END AS content,
-      g AS n_gen, status = 'faulted' AS is_faulted FROM last JOIN turns USING (turn_id)""",
+    "agent_answer": f"""{_MACHINE}, listed AS (SELECT turn_id, r, string_agg(filename || '#' || chunk_id, ';' ORDER BY rank) AS sources FROM firsts GROUP BY ALL)
+      SELECT turn_id, 'assistant' AS role, CASE WHEN status = 'faulted' THEN 'Sorry, this failed: unknown route of ' || turn_id ELSE last_node || ': ' || question END AS content,
+        CASE WHEN last_node IN ('generate', 'generate_document_response') THEN coalesce(sources, '') ELSE '' END AS sources, g AS n_gen, contextual AS contextual_question, status = 'faulted' AS is_faulted
+      FROM last JOIN turns USING (turn_id) LEFT JOIN listed USING (turn_id, r)""",
+    "build_context": f"WITH {_BASE} SELECT turn_id, string_agg('Filename: ' || filename || chr(10) || 'Content: ' || content, chr(10) || chr(10) ORDER BY rank) AS context FROM named WHERE r = 1 GROUP BY turn_id",
+    "build_facts": f"WITH {_BASE} SELECT turn_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS facts FROM chunks WHERE r = 1 GROUP BY turn_id",
+    "sources": f"WITH {_BASE} SELECT turn_id, (row_number() OVER (PARTITION BY turn_id ORDER BY rank) - 1)::INTEGER AS pos, filename, chunk_id FROM named WHERE r = 1",
+    "sources_distinct": f"WITH {_BASE} SELECT turn_id, (row_number() OVER (PARTITION BY turn_id ORDER BY rank) - 1)::INTEGER AS pos, filename, chunk_id FROM firsts WHERE r = 1",
+    "doc_files": f"WITH {_BASE} SELECT turn_id, 'You may look at: ' || string_agg(DISTINCT filename, ', ' ORDER BY filename) AS response FROM named JOIN turns USING (turn_id) WHERE r = 1 AND doc_request = 'yes' GROUP BY turn_id",
     "final_state": f"{_MACHINE} SELECT turn_id, last_node, steps, g, t, r, status FROM last",
-    "fault_rows": f"WITH {_BASE} SELECT turn_id, 'faulted' AS status FROM turns WHERE route = 'other'",
+    "fault_rows": f"WITH {_BASE} SELECT turn_id, 'unknown route of ' || turn_id AS exception, '(en) Sorry, this failed: unknown route of ' || turn_id AS response FROM turns WHERE route = 'other'",
     "route": f"WITH {_BASE} SELECT turn_id, route FROM turns",
     "doc_request": f"WITH {_BASE} SELECT turn_id, doc_request FROM turns",
-    "contextualize": f"WITH {_BASE} SELECT turn_id, trim(regexp_replace(question, '[ \\t\\n\\r]+', ' ', 'g')) AS contextual_question, 0 AS generation_count, 0 AS transform_query_count FROM turns",
-    "conv_branch": f"WITH {_BASE} SELECT turn_id, 'echo: ' || question[1:40] AS response FROM turns WHERE route = 'conversational'",
-    "retrieve": f"WITH {_BASE} SELECT t.turn_id, g.doc_id FROM turns t LEFT JOIN (SELECT * FROM graded WHERE r = 1 AND labelled) g USING (turn_id) WHERE route = 'document_based'",
-    "grade_filter": f"WITH {_BASE} SELECT turn_id, r, j, doc_id FROM graded WHERE grade = 'yes'",
+    "contextualize": f"WITH {_BASE} SELECT turn_id, contextual AS contextual_question, 0 AS generation_count, 0 AS transform_query_count FROM turns",
+    "conv_branch": f"WITH {_BASE} SELECT turn_id, 'echo after ' || n_history || ' messages: ' || question AS response FROM turns WHERE route = 'conversational'",
+    "retrieve": f"WITH {_BASE} SELECT t.turn_id, f.rank, f.doc_id, f.score FROM turns t LEFT JOIN (SELECT * FROM found WHERE r = 1) f USING (turn_id) WHERE route = 'document_based'",
+    "grade_filter": f"WITH {_BASE} SELECT turn_id, r, rank, doc_id FROM graded WHERE grade = 'yes'",
     "decide_generate": f"""WITH {_BASE} SELECT turn_id, CASE WHEN n = 0 THEN 'all_docs_not_relevant' WHEN doc_request = 'no' THEN 'at_least_one_doc_relevant' ELSE 'generate_document_request_response' END AS edge
       FROM turns JOIN kept USING (turn_id) WHERE r = 1""",
     "validate_route": f"""WITH {_BASE} SELECT turn_id, g, CASE WHEN g > {LIMIT} THEN 'generate_default_response' WHEN NOT grounded THEN 'generation_not_grounded'
       WHEN answered THEN 'grounded_and_addressed_question' ELSE 'grounded_but_not_addressed_question' END AS outcome FROM outcomes""",
-    "rewrite": f"WITH {_BASE} SELECT turn_id, 'Please explain: ' || question[1:60] AS question, 1 AS transform_query_count FROM turns",
+    "rewrite": f"WITH {_BASE} SELECT turn_id, '{ASK}' || contextual AS question, 1 AS transform_query_count FROM turns",
     "rewrite_limit": f"{_MACHINE} SELECT turn_id, CASE WHEN t <= {LIMIT} THEN 'retrieve' ELSE 'generate_default_response' END AS edge FROM last WHERE t > 0",
-    "default_resp": f"{_MACHINE} SELECT turn_id, 'No answer was found for: ' || question[1:40] AS response, 0 AS n_documents FROM last JOIN turns USING (turn_id) WHERE last_node = 'generate_default_response'",
+    "default_resp": f"{_MACHINE} SELECT turn_id, 'No answer was found for: ' || question AS response, 0 AS n_documents FROM last JOIN turns USING (turn_id) WHERE last_node = 'generate_default_response'",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, memory
+from tessera.operators import evaluation, memory, messages, models
 from tessera.plans._pairs import duck, spark_query
 
 START, HISTORY = "2024-01-01 00:00:00", 3
@@ -30,19 +30,31 @@ def _samples(spark: SparkSession) -> DataFrame:
 
 _LITERALS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(x.replace("'", "''") for x in SAMPLES))
 _SAMPLES = f"samples(id, s) AS (VALUES {_LITERALS})"
-_THINK = r"regexp_replace(regexp_replace(s, '(?is)<think>.*?</think>', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
-_CUT1 = r"CASE WHEN regexp_matches(s, '(?is)assistantfinal\s*(.*)') THEN trim(regexp_extract(s, '(?is)assistantfinal\s*(.*)', 1), ' ' || chr(10)) ELSE s END"
-_CUT2 = r"CASE WHEN regexp_matches(s, '(?is)json\s?(\{.*)') THEN trim(regexp_extract(s, '(?is)json\s?(\{.*)', 1), ' ' || chr(10)) ELSE s END"
-_FINAL = f"think AS (SELECT id, {_THINK} AS s FROM samples), cut AS (SELECT id, {_CUT1} AS s FROM think), final AS (SELECT id, {_CUT2} AS s FROM cut)"
+_ENDS = r"'^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$', '', 'g'"
+_THINK = rf"regexp_replace(regexp_replace(s, '(?is)<think>.*?</think>', '', 'g'), {_ENDS})"
+_CUT1 = rf"CASE WHEN regexp_matches(s, '(?s)assistantfinal\s*(.*)') THEN regexp_replace(regexp_extract(s, '(?s)assistantfinal\s*(.*)', 1), {_ENDS}) ELSE s END"
+_CUT2 = rf"CASE WHEN regexp_matches(s, '(?s)[Jj][Ss][Oo][Nn]\s*(\{{.*)') THEN regexp_replace(regexp_extract(s, '(?s)[Jj][Ss][Oo][Nn]\s*(\{{.*)', 1), {_ENDS}) ELSE s END"
+#: Whole documents as a model would answer with them, in three forms.
+_ANSWERS = """answers AS (SELECT doc_id::INTEGER + 1000 AS id, CASE doc_id % 3 WHEN 0 THEN '<think>x' || chr(10) || '</think> AssistantFinal assistantfinal' || chr(10) || text
+    WHEN 1 THEN text || '<THINK>' || lang || '</think> json' || chr(10) || chr(10) || '{"binary_score":"' || CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'maybe' END || '"}' ELSE text || ' <think>' END AS s FROM documents
+    WHERE text IS NOT NULL AND lang IS NOT NULL UNION ALL SELECT * FROM samples)"""
+_FINAL = f"think AS (SELECT id, {_THINK} AS s FROM answers), cut AS (SELECT id, {_CUT1} AS s FROM think), final AS (SELECT id, {_CUT2} AS s FROM cut)"
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    d, k = _read(spark, sf_dir, "documents").where("text is not null and lang is not null"), F.col("doc_id")
+    final = F.concat(F.lit("<think>x\n</think> AssistantFinal assistantfinal\n"), "text")
+    scored = F.concat("text", F.lit("<THINK>"), "lang", F.lit('</think> json\n\n{"binary_score":"'), F.when(k % 2 == 0, "yes").otherwise("maybe"), F.lit('"}'))
+    s = F.when(k % 3 == 0, final).when(k % 3 == 1, scored).otherwise(F.concat("text", F.lit(" <think>")))
+    return d.select((k.cast("int") + 1000).alias("id"), s.alias("s")).union(_samples(spark))
 
 
 def strip_think(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("id"), F.concat(F.lit("<think>x\n</think> "), F.substring("text", 1, 80)).alias("s"))
-    return _samples(spark).union(docs).select("id", T.strip_think(F.col("s")).alias("cleaned"))
+    return _answers(spark, sf_dir).select("id", T.strip_think(F.col("s")).alias("cleaned"))
 
 
 def get_final(spark, sf_dir):
-    return _samples(spark).select("id", T.get_final(T.strip_think(F.col("s"))).alias("final"))
+    return _answers(spark, sf_dir).select("id", models.free_text(F.col("s")).alias("final"))
 
 
 def parse_json(spark, sf_dir):
@@ -52,7 +64,7 @@ def parse_json(spark, sf_dir):
 def validate_domain(spark, sf_dir):
     final = T.get_final(T.strip_think(F.col("s")))
     valid = F.when(final.startswith("{"), T.structured(F.col("s"), "binary_score", ("yes", "no")))
-    return _samples(spark).select("id", valid.alias("score"), valid.isNull().alias("faulted"))
+    return _answers(spark, sf_dir).select("id", valid.alias("score"), valid.isNull().alias("faulted"))
 
 
 def _messages(spark, sf_dir) -> DataFrame:
@@ -69,7 +81,11 @@ def render_history(spark, sf_dir):
 
 
 def memory_tail(spark, sf_dir):
-    return _messages(spark, sf_dir).select("conv_id", T.render_messages(T.tail(F.col("messages"), 2 * HISTORY)).alias("history"))
+    """The last messages of each conversation, ranked before they are gathered."""
+    kind = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai")
+    typed = messages.last_messages(_read(spark, sf_dir, "conversations").withColumn("type", kind).where("type is not null"), 2 * HISTORY)
+    each = F.array_sort(F.collect_list(F.struct("turn", "type", F.col("text").alias("content"))))
+    return typed.groupBy("conv_id").agg(each.alias("m")).select("conv_id", T.render_messages(F.col("m")).alias("history"))
 
 
 def to_messages(spark, sf_dir):
@@ -77,45 +93,16 @@ def to_messages(spark, sf_dir):
 
 
 def rolling_messages(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(F.concat("role", F.lit(":"), F.length("text").cast("string"))).over(w), ",").alias("seen"))
+    """Each conversation's messages up to turn 3 merged with those from turn 2 on, whose texts replace the earlier ones."""
+    c = _read(spark, sf_dir, "conversations")
+    some = lambda keep, text: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("turn", text.alias("text"))))), lambda m: F.struct(m["turn"].alias("id"), m["text"].alias("text")))
+    both = c.groupBy("conv_id").agg(some(F.col("turn") <= 3, F.col("text")).alias("a"), some(F.col("turn") >= 2, F.reverse("text")).alias("b"))
+    return both.select("conv_id", F.posexplode(messages.add_messages(F.col("a"), F.col("b"))).alias("pos", "m")).select("conv_id", "pos", "m.id", "m.text")
 
 
 _TYPED = "typed AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' END AS type, text FROM conversations WHERE role IN ('user', 'assistant')), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM typed)"
 
 
-def _docs(spark, sf_dir) -> DataFrame:
-    """(group_id, docs): the documents of each language, first 4 by id, as retrieved chunks; some lack a part."""
-    docs = _read(spark, sf_dir, "documents").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("n <= 4")
-    chunk = F.struct("n", F.when(F.col("n") != 2, F.col("source")).alias("filename"), F.when(F.col("n") < 3, (F.col("doc_id") % 7).cast("string")).alias("chunk_id"), F.substring("text", 1, 60).alias("content"))
-    return docs.groupBy("lang").agg(F.array_sort(F.collect_list(chunk)).alias("docs"))
-
-
-_PICKED = "picked AS (SELECT lang, n, CASE WHEN n <> 2 THEN source END AS filename, CASE WHEN n < 3 THEN (doc_id % 7)::VARCHAR END AS chunk_id, text[1:60] AS content FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 4)"
-
-
-def build_context(spark, sf_dir):
-    named = F.transform("docs", lambda d: d.withField("filename", F.coalesce(d["filename"], F.lit("unknown"))))
-    return _docs(spark, sf_dir).select("lang", T.render_context(named).alias("context"))
-
-
-def build_facts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("lang", T.render_facts(F.col("docs")).alias("facts"))
-
-
-def sources(spark, sf_dir):
-    return _docs(spark, sf_dir).select("lang", F.posexplode("docs").alias("pos", "d")).select("lang", "pos", F.coalesce("d.filename", F.lit("unknown")).alias("filename"), F.coalesce("d.chunk_id", F.lit("unknown")).alias("chunk_id"))
-
-
-def sources_distinct(spark, sf_dir):
-    doubled = _docs(spark, sf_dir).withColumn("docs", F.concat("docs", F.reverse("docs")))
-    return doubled.select("lang", F.posexplode(T.source_list(F.col("docs"))).alias("pos", "d")).select("lang", "pos", "d.filename", "d.chunk_id")
-
-
-def doc_files(spark, sf_dir):
-    return _docs(spark, sf_dir).select("lang", F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("docs", lambda d: d["filename"]), lambda x: x.isNotNull()))), ", ").alias("files"))
-
-
 def detect_language(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
@@ -126,7 +113,7 @@ def _hits(words: tuple[str, ...]) -> str:
 
 _LANGUAGE = f"""WITH words AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents),
   hits AS (SELECT doc_id, {', '.join(f'{_hits(v)} AS {k}' for k, v in T.STOP_WORDS.items())} FROM words)
-  SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'en' {' '.join(f"WHEN {k} = greatest(de, en, es, fr) THEN '{k}'" for k in T.STOP_WORDS)} END AS language FROM hits"""
+  SELECT doc_id, CASE WHEN coalesce(greatest(de, en, es, fr), 0) = 0 THEN 'en' {' '.join(f"WHEN {k} = greatest(de, en, es, fr) THEN '{k}'" for k in T.STOP_WORDS)} END AS language FROM hits"""
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -144,10 +131,6 @@ _TURNS = f"""turns AS (SELECT conv_id AS session_id, conv_id * 100 + turn AS mes
   FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations) WHERE role = 'user')"""
 
 
-def turn_records(spark, sf_dir):
-    return _turns(spark, sf_dir).select("session_id", "message_id", "question", "response", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created"))
-
-
 def history_last_n(spark, sf_dir):
     return memory.history(_turns(spark, sf_dir), HISTORY).select("session_id", "message_id", "rank")
 
@@ -177,24 +160,16 @@ def delete_prefix(spark, sf_dir):
     return memory.delete_prefix(entries, gone).select(F.get("namespace", F.lit(1)).alias("session_id"), "key", "value")
 
 
-def kv_coerce(spark, sf_dir):
-    items = _turns(spark, sf_dir).select(
-        F.array(F.lit("conversation"), F.col("session_id").cast("string")).alias("namespace"), F.col("message_id").cast("string").alias("key"),
-        F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("message_id").cast("string")).alias("message_id"), F.when(F.col("turn") % 2 == 0, F.col("session_id").cast("string")).alias("session_id"), F.length("question").cast("string").alias("question"))).alias("value"), F.col("turn").alias("seq"),
-    )
-    return memory.coerce(items)
-
-
 def _asked(spark, sf_dir) -> DataFrame:
-    """Questions of the benchmark under 3 guidelines; one in four has no id."""
+    """Questions of the benchmark, ten to a guideline, one row of the source each; one question in four has no id."""
     b = _read(spark, sf_dir, "benchmark")
-    q = F.struct(F.col("item_id").alias("k"), F.when(F.col("item_id") % 4 != 0, F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("id"), F.substring("text", 1, 40).alias("question"))
-    grouped = b.groupBy((F.col("item_id") % 3).cast("string").alias("g")).agg(F.array_sort(F.collect_list(q)).alias("questions"))
-    entry = F.struct(F.col("g").alias("key"), F.struct(F.concat(F.lit("name "), F.col("g")).alias("guideline_name"), F.transform("questions", lambda x: F.struct(x["id"], x["question"])).alias("questions")).alias("value"))
-    return grouped.agg(F.map_from_entries(F.collect_list(entry)).alias("guidelines"))
+    q = F.struct(F.col("item_id").alias("k"), F.when(F.col("item_id") % 4 != 0, F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("id"), F.col("text").alias("question"))
+    grouped = b.groupBy(F.lpad(F.floor(F.col("item_id") / 10).cast("string"), 6, "0").alias("g")).agg(F.array_sort(F.collect_list(q)).alias("questions"))
+    entry = F.struct(F.concat(F.lit("name "), F.col("g")).alias("guideline_name"), F.transform("questions", lambda x: F.struct(x["id"], x["question"])).alias("questions"))
+    return grouped.select(F.create_map(F.col("g"), entry).alias("guidelines"))
 
 
-_ASKED = "asked AS (SELECT (item_id % 3)::VARCHAR AS guideline, 'name ' || (item_id % 3) AS guideline_name, (row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) - 1)::INTEGER AS pos, CASE WHEN item_id % 4 <> 0 THEN 'q' || item_id END AS id, text[1:40] AS question FROM benchmark), defaults AS (SELECT guideline, guideline_name, pos, coalesce(id, 'Q_' || row_number() OVER (ORDER BY guideline, pos)) AS id, question FROM asked)"
+_ASKED = "asked AS (SELECT lpad((item_id // 10)::VARCHAR, 6, '0') AS guideline, 'name ' || lpad((item_id // 10)::VARCHAR, 6, '0') AS guideline_name, (row_number() OVER (PARTITION BY item_id // 10 ORDER BY item_id) - 1)::INTEGER AS pos, CASE WHEN item_id % 4 <> 0 THEN 'q' || item_id END AS id, text AS question FROM benchmark), defaults AS (SELECT guideline, guideline_name, pos, coalesce(id, 'Q_' || row_number() OVER (ORDER BY guideline, pos)) AS id, coalesce(question, '') AS question FROM asked)"
 
 
 def eval_flatten(spark, sf_dir):
@@ -205,17 +180,17 @@ def eval_defaults(spark, sf_dir):
     return evaluation.with_defaults(evaluation.flatten(_asked(spark, sf_dir)))
 
 
-def _answers(spark, sf_dir) -> DataFrame:
+def _eval_answers(spark, sf_dir) -> DataFrame:
     asked = evaluation.with_defaults(evaluation.flatten(_asked(spark, sf_dir)))
     return evaluation.answered(asked.withColumns({"answer": F.when(F.col("pos") % 5 != 0, F.upper("id")), "error": F.lit("no answer")}))
 
 
 def eval_errors(spark, sf_dir):
-    return _answers(spark, sf_dir).select("guideline", "id", "answer")
+    return _eval_answers(spark, sf_dir).select("guideline", "id", "answer")
 
 
 def eval_regroup(spark, sf_dir):
-    return evaluation.regroup(_answers(spark, sf_dir)).select("guideline", "guideline_name", F.array_join(F.transform("questions", lambda q: F.concat(q["id"], F.lit("="), q["answer"])), ";").alias("answers"))
+    return evaluation.regroup(_eval_answers(spark, sf_dir)).select("guideline", "guideline_name", F.array_join(F.transform("questions", lambda q: F.concat(q["id"], F.lit("="), q["answer"])), ";").alias("answers"))
 
 
 def json_source(spark, sf_dir):
@@ -226,85 +201,44 @@ def json_source(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (strip_think, get_final, parse_json, validate_domain, render_history, memory_tail, to_messages, rolling_messages, build_context, build_facts, sources, sources_distinct, doc_files, detect_language, turn_records, history_last_n)
-    + (kv_latest, session_feedback, delete_prefix, kv_coerce, eval_flatten, eval_defaults, eval_errors, eval_regroup, json_source)
+    for f in (strip_think, get_final, parse_json, validate_domain, render_history, memory_tail, to_messages, rolling_messages, detect_language, history_last_n)
+    + (kv_latest, session_feedback, delete_prefix, eval_flatten, eval_defaults, eval_errors, eval_regroup, json_source)
 }
 QUERIES["feedback_latest"] = kv_latest
 _HISTORY = "SELECT conv_id, coalesce(string_agg(type || ': ' || text, chr(10) ORDER BY n) FILTER (WHERE {keep}), '') AS history FROM numbered GROUP BY conv_id"
 ORACLES = {
-    "strip_think": f"WITH {_SAMPLES}, rows AS (SELECT * FROM samples UNION ALL SELECT doc_id::INTEGER, '<think>x' || chr(10) || '</think> ' || text[1:80] FROM documents) SELECT id, {_THINK} AS cleaned FROM rows",
-    "get_final": f"WITH {_SAMPLES}, {_FINAL} SELECT id, s AS final FROM final",
-    "parse_json": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
-    "validate_domain": f"""WITH {_SAMPLES}, {_FINAL}, scored AS (SELECT id, CASE WHEN s LIKE '{{%' THEN json_extract_string(s, '$.binary_score') END AS v FROM final)
+    "strip_think": f"WITH {_SAMPLES}, {_ANSWERS} SELECT id, {_THINK} AS cleaned FROM answers",
+    "get_final": f"WITH {_SAMPLES}, {_ANSWERS}, {_FINAL} SELECT id, s AS final FROM final",
+    "parse_json": "SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events",
+    "validate_domain": f"""WITH {_SAMPLES}, {_ANSWERS}, {_FINAL}, scored AS (SELECT id, CASE WHEN s LIKE '{{%' THEN json_extract_string(s, '$.binary_score') END AS v FROM final)
       SELECT id, CASE WHEN v IN ('yes', 'no') THEN v END AS score, coalesce(v NOT IN ('yes', 'no'), true) AS faulted FROM scored""",
     "render_history": f"WITH {_TYPED} " + _HISTORY.format(keep="n < total"),
     "memory_tail": f"WITH {_TYPED} " + _HISTORY.format(keep=f"n > total - {2 * HISTORY}"),
     "to_messages": f"WITH {_TYPED} SELECT conv_id, (n - 1)::INTEGER AS pos, type, text AS content FROM numbered",
-    "rolling_messages": "SELECT conv_id, turn, string_agg(role || ':' || length(text), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seen FROM conversations",
-    "build_context": f"WITH {_PICKED} SELECT lang, string_agg('Filename: ' || coalesce(filename, 'unknown') || chr(10) || 'Content: ' || content, chr(10) || chr(10) ORDER BY n) AS context FROM picked GROUP BY lang",
-    "build_facts": f"WITH {_PICKED} SELECT lang, string_agg(content, chr(10) || chr(10) ORDER BY n) AS facts FROM picked GROUP BY lang",
-    "sources": f"WITH {_PICKED} SELECT lang, (n - 1)::INTEGER AS pos, coalesce(filename, 'unknown') AS filename, coalesce(chunk_id, 'unknown') AS chunk_id FROM picked",
-    "sources_distinct": f"WITH {_PICKED}, firsts AS (SELECT lang, coalesce(filename, 'unknown') AS filename, coalesce(chunk_id, 'unknown') AS chunk_id, min(n) AS n FROM picked GROUP BY ALL) SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY n) - 1)::INTEGER AS pos, filename, chunk_id FROM firsts",
-    "doc_files": f"WITH {_PICKED} SELECT lang, string_agg(filename, ', ' ORDER BY filename) AS files FROM (SELECT DISTINCT lang, filename FROM picked WHERE filename IS NOT NULL) GROUP BY lang",
+    "rolling_messages": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, turn AS id, CASE WHEN turn >= 2 THEN reverse(text) ELSE text END AS text FROM conversations",
     "detect_language": _LANGUAGE,
-    "turn_records": f"WITH {_TURNS} SELECT session_id, message_id, question, response, strftime(created_at, '%Y-%m-%d %H:%M') AS created FROM turns",
     "history_last_n": f"WITH {_TURNS} SELECT session_id, message_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS rank FROM turns) WHERE rank <= {HISTORY}",
     "kv_latest": f"WITH {_LATEST} SELECT user_id::VARCHAR AS session_id, key, value, seq FROM entries",
     "feedback_latest": f"WITH {_LATEST} SELECT user_id::VARCHAR AS session_id, key, value, seq FROM entries",
     "session_feedback": f"WITH {_LATEST} SELECT key, value, seq FROM entries WHERE user_id = 3",
     "delete_prefix": f"WITH {_LATEST} SELECT user_id::VARCHAR AS session_id, key, value FROM entries WHERE user_id::VARCHAR NOT LIKE '%1'",
-    "kv_coerce": f"WITH {_TURNS} SELECT message_id::VARCHAR AS message_id, session_id::VARCHAR AS session_id, length(question)::VARCHAR AS question, turn AS seq FROM turns",
     "eval_flatten": f"WITH {_ASKED} SELECT * FROM asked",
     "eval_defaults": f"WITH {_ASKED} SELECT * FROM defaults",
     "eval_errors": f"WITH {_ASKED} SELECT guideline, id, CASE WHEN pos % 5 <> 0 THEN upper(id) ELSE 'ERROR: no answer' END AS answer FROM defaults",
     "eval_regroup": f"WITH {_ASKED} SELECT guideline, guideline_name, string_agg(id || '=' || CASE WHEN pos % 5 <> 0 THEN upper(id) ELSE 'ERROR: no answer' END, ';' ORDER BY pos) AS answers FROM defaults GROUP BY ALL",
 }
 
-_SESSIONS = f"sessions AS (SELECT conv_id AS session_id, conv_id % 20 AS service_user_id, count(*) AS message_count, max(turn) AS last_turn, min(CASE WHEN role = 'user' THEN turn END) AS first_turn FROM {{conversations}} GROUP BY conv_id)"
-#: Same text for both engines.
-SHARED = {
-    "user_last_active": "SELECT user_id, max(ts) AS last_active, min(ts) AS created_at FROM {events} GROUP BY user_id",
-    "user_lookup": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'signup' THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END, event_id) AS n FROM {events}) x WHERE n = 1",
-    "user_create": "SELECT user_id, 'user' AS user_role, event_id FROM {events} WHERE event_type = 'signup'",
-    "session_create": f"WITH {_SESSIONS} SELECT session_id, service_user_id, CAST(0 AS BIGINT) AS message_count, CAST(NULL AS VARCHAR(1)) AS title FROM sessions",
-    "session_get": f"WITH {_SESSIONS} SELECT session_id, service_user_id, message_count FROM sessions WHERE session_id = 7",
-    "user_sessions": f"WITH {_SESSIONS} SELECT service_user_id, session_id, CAST(row_number() OVER (PARTITION BY service_user_id ORDER BY session_id) AS INT) AS ordinal FROM sessions",
-    "session_list": f"WITH {_SESSIONS} SELECT session_id, ordinal FROM (SELECT session_id, service_user_id, CAST(row_number() OVER (PARTITION BY service_user_id ORDER BY session_id) AS INT) AS ordinal FROM sessions) x WHERE service_user_id = 3",
-    "session_pick": f"WITH {_SESSIONS}, picks AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'x' ELSE CAST(event_id % 6 AS VARCHAR(9)) END AS word FROM {{events}} WHERE event_id < 60), numbered AS (SELECT session_id, row_number() OVER (ORDER BY session_id) AS ordinal FROM sessions WHERE service_user_id = 3) SELECT event_id, word, session_id FROM picks LEFT JOIN numbered ON CAST(ordinal AS VARCHAR(9)) = word",
-    "session_activity": f"WITH {_SESSIONS} SELECT session_id, message_count, last_turn FROM sessions",
-    "session_status": f"WITH {_SESSIONS} SELECT session_id, message_count, first_turn, last_turn FROM sessions",
-    "session_delete": f"WITH {_SESSIONS} SELECT session_id, message_count FROM sessions WHERE session_id NOT IN (SELECT conv_id FROM {{conversations}} WHERE role = 'system')",
-    "delete_session": "SELECT conv_id, turn FROM {conversations} c WHERE NOT EXISTS (SELECT 1 FROM {conversations} d WHERE d.conv_id = c.conv_id AND d.role = 'system')",
-    "session_auto_title": f"WITH {_SESSIONS} SELECT s.session_id, coalesce(CASE WHEN s.session_id % 5 = 0 THEN 'given' END, substr(c.text, 1, 30)) AS title FROM sessions s LEFT JOIN {{conversations}} c ON c.conv_id = s.session_id AND c.turn = s.first_turn",
-    "session_title": "SELECT conv_id, substr(text, 1, 20) AS title FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {conversations} WHERE role = 'user') x WHERE n = 1",
-    "lang_default": "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END, ''), 'en') AS language FROM {documents}",
-    "feedback_value": "SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN 0 END AS feedback_value FROM {events}",
-    "thread_state": "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {conversations}) x WHERE n = 1",
-    "prompt_render": "SELECT item_id, concat('System: answer briefly.', chr(10), 'Human: ', text) AS prompt FROM {benchmark}",
-}
 #: (Spark, DuckDB) where a function's dialect differs.
 DIALECTS = {
     "fmt_ts": ("SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm') AS stamp FROM {events}", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS stamp FROM {events}"),
-    "turn_latency": (
-        "SELECT event_id, (unix_micros(CAST(ts AS TIMESTAMP)) - lag(unix_micros(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id ORDER BY ts, event_id)) DIV 1000 AS latency_ms FROM {events}",
-        "SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000 AS latency_ms FROM {events}",
-    ),
-    "uuid_valid": (
-        "SELECT event_id, md5(CAST(event_id AS STRING)) RLIKE '^[0-7][0-9a-f]{{31}}$' AS valid FROM {events}",
-        "SELECT event_id, regexp_matches(md5(event_id::VARCHAR), '^[0-7][0-9a-f]{31}$') AS valid FROM {events}",
-    ),
-    "parse_command": (
-        "SELECT event_id, startswith(s, '/') AS is_command, split(s, '\\\\s+', 3)[0] AS command FROM (SELECT event_id, lower(trim(concat(' /', event_type, ' A b c '))) AS s FROM {events})",
-        "SELECT event_id, starts_with(s, '/') AS is_command, regexp_split_to_array(s, '\\s+')[1] AS command FROM (SELECT event_id, lower(trim(concat(' /', event_type, ' A b c '))) AS s FROM {events})",
-    ),
     "token_count": (
         "SELECT doc_id, CAST(size(array_remove(split(text, '[ \\\\t\\\\n\\\\r]+'), '')) AS BIGINT) AS n_tokens FROM {documents}",
         "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM {documents}",
     ),
     "fewshot_prompt": (
-        "SELECT lang, listagg(concat('input: ', substr(text, 1, 20), ', output: ', source), '\\n') WITHIN GROUP (ORDER BY doc_id) AS prompt FROM {documents} WHERE doc_id < 40 GROUP BY lang",
-        "SELECT lang, string_agg(concat('input: ', substr(text, 1, 20), ', output: ', source), chr(10) ORDER BY doc_id) AS prompt FROM {documents} WHERE doc_id < 40 GROUP BY lang",
+        "SELECT lang, listagg(concat('input: ', coalesce(text, ''), ', output: ', coalesce(source, '')), '\\n') WITHIN GROUP (ORDER BY doc_id) AS prompt FROM {documents} WHERE doc_id IN (SELECT min(doc_id) FROM {documents} GROUP BY lang, source) GROUP BY lang",
+        "SELECT lang, string_agg(concat('input: ', coalesce(text, ''), ', output: ', coalesce(source, '')), chr(10) ORDER BY doc_id) AS prompt FROM {documents} WHERE doc_id IN (SELECT min(doc_id) FROM {documents} GROUP BY lang, source) GROUP BY lang",
     ),
 }
-QUERIES |= {name: spark_query(s) for name, s in SHARED.items()} | {name: spark_query(s) for name, (s, _) in DIALECTS.items()}
-ORACLES |= {name: duck(s) for name, s in SHARED.items()} | {name: duck(d) for name, (_, d) in DIALECTS.items()}
+QUERIES |= {name: spark_query(s) for name, (s, _) in DIALECTS.items()}
+ORACLES |= {name: duck(d) for name, (_, d) in DIALECTS.items()}

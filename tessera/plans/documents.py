@@ -18,7 +18,7 @@ def html_to_text(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", ingest.normalize(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", ingest.normalize(ingest.compose(F.concat("text", F.lit("e\u0301")))).alias("text"))
 
 
 def split_headers(spark, sf_dir):
@@ -27,6 +27,30 @@ def split_headers(spark, sf_dir):
     return ingest.split_headers(_docs(spark, sf_dir).select("doc_id", marked.alias("text"))).select("doc_id", "part", "header", F.length("body").alias("n"))
 
 
+def header_paths(spark, sf_dir):
+    """Every third line becomes a header, of a level that follows its length."""
+    marked = F.regexp_replace(F.regexp_replace("text", r"\n([^\n]{60,})\n", "\n# $1\n"), r"\n([^\n#][^\n]{20,59})\n", "\n### $1\n")
+    sections = ingest.split_headers(_docs(spark, sf_dir).select("doc_id", marked.alias("text")))
+    return ingest.with_header_path(sections).select("doc_id", "part", "header", "path")
+
+
+def chunk_recursive(spark, sf_dir):
+    return ingest.chunk_recursive(_docs(spark, sf_dir))
+
+
+def _tokenizer():
+    """Places of a public tokenizer's tokens; its file is part of the installation."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: library.encode(text, add_special_tokens=False).offsets
+
+
+def chunk_tokenizer(spark, sf_dir):
+    return ingest.chunk_tokenizer(_docs(spark, sf_dir), _tokenizer)
+
+
 def chunk_fixed(spark, sf_dir):
     return ingest.chunk_characters(_docs(spark, sf_dir))
 
@@ -39,11 +63,11 @@ _DECODED = "s"
 for _entity, _char in ingest.ENTITIES:
     _DECODED = f"replace({_DECODED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
 
-QUERIES = {f.__name__: f for f in (html_to_text, normalize_text, split_headers, chunk_fixed, chunk_tokens)}
+QUERIES = {f.__name__: f for f in (html_to_text, normalize_text, split_headers, header_paths, chunk_fixed, chunk_recursive, chunk_tokens, chunk_tokenizer)}
 ORACLES = {
     "html_to_text": f"""SELECT page_id, trim(regexp_replace({_DECODED}, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM (SELECT page_id,
       regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS s FROM pages)""",
-    "normalize_text": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{L})', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents""",
+    "normalize_text": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text || 'e' || chr(769)), '(\p{L})-\n(\p{L})', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents""",
     "split_headers": r"""WITH marked AS (SELECT doc_id, regexp_replace(text, '\n([^\n]*)\n', chr(10) || '## \1' || chr(10), 'g') AS text FROM documents),
       parts AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS part, unnest(p) AS s FROM (SELECT doc_id, string_split(regexp_replace(chr(10) || text, '\n(#{1,4} )', chr(1) || '\1', 'g'), chr(1)) AS p FROM marked)),
       named AS (SELECT *, regexp_extract(s, '^(#{1,4} [^\n]*)', 1) AS header FROM parts)

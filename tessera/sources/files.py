@@ -16,7 +16,7 @@ SEARCH_TYPES = ("similarity", "mmr", "similarity_score_threshold")
 class SearchConfig:
     type: str = "similarity"
     kwargs: dict[str, Any] = field(default_factory=dict)
-    filename: str | None = None
+    filename: str | tuple[str, ...] | None = None
     fusion: bool = False
 
     @classmethod
@@ -25,7 +25,8 @@ class SearchConfig:
         if kind not in SEARCH_TYPES:
             raise ValueError(f"unknown search type {kind!r}")
         kwargs = {"k": config.get("top_k", 3)} | {x: config[x] for x in ("fetch_k", "score_threshold") if config.get(x) is not None}
-        return cls(kind, kwargs, config.get("filename"), bool(config.get("fusion")))
+        name = config.get("filename")
+        return cls(kind, kwargs, tuple(name) if isinstance(name, list) else name, bool(config.get("fusion")))
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame | None:
@@ -55,3 +56,22 @@ def write_json(df: DataFrame, path: str) -> None:
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table over JDBC; the driver's jar must be on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
+def config_snapshot(config: dict[str, Any], hidden: tuple[str, ...] = ("password", "api_key", "token")) -> dict[str, Any]:
+    """A configuration as it is stored beside results: nested values kept, secrets starred, other objects as text."""
+
+    def plain(name: str, value: Any) -> Any:
+        if name in hidden:
+            return "***"
+        if isinstance(value, dict):
+            return {k: plain(k, v) for k, v in value.items()}
+        if isinstance(value, (list, tuple)):
+            return [plain("", v) for v in value]
+        return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+
+    return plain("", config)
