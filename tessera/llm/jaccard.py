@@ -41,6 +41,8 @@ BITS, BLOCK_BITS = 24, 16
 ROUNDS, LEADERS = 1, 4
 #: Words of 64 bits in the bitmap of a set's open shingles.
 LANES = 4
+#: Words of 64 bits in the bitmap of a whole set.
+MARKS = 16
 #: Pairs of one leader that a task compares.
 PART = 256
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -89,8 +91,25 @@ def common(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]
     return value[order], n[order]
 
 
+def _marks(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of a whole set, MARKS words of 64 bits."""
+    out = np.zeros(MARKS, np.uint64)
+    np.bitwise_or.at(out, ((shingles >> np.uint64(6)) % np.uint64(MARKS)).astype(np.int64), np.uint64(1) << (shingles & np.uint64(63)))
+    return out
+
+
+def marked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets (key, n, marks) may overlap enough: a shingle whose bit the other set lacks isn't shared."""
+    of, over = SIMILAR
+    own = lambda c, x: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}"))
+    both = pairs.join(own("a", "a"), "a").join(own("b", "b"), "b")
+    alone = lambda x, y: F.aggregate(F.zip_with(f"marks_{x}", f"marks_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    shared = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return both.where(shared * (of + over) >= (F.col("n_a") + F.col("n_b")) * of).select(pairs.columns)
+
+
 def prefixes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, version, key, n, fp, prefix array<long>) per row of docs (doc_id, version, text), computed: equal sets have equal keys."""
+    """(doc_id, version, key, n, fp, marks, prefix array<long>) per row of docs (doc_id, version, text), computed: equal sets have equal keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs, words))
     of, over = SIMILAR
 
@@ -104,17 +123,18 @@ def prefixes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=HASH_BYTES):
-            keys, sizes, prints, firsts = [], [], [], []
+            keys, sizes, prints, marks, firsts = [], [], [], [], []
             for x in sets(raw(piece), words):
                 keys.append(_key(x))
                 sizes.append(len(x))
                 prints.append(majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)))
+                marks.append(_marks(x).view(np.int64).tolist())
                 firsts.append(prefix(x).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
-            found = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("version"), *found], names=["doc_id", "version", "key", "n", "fp", "prefix"])
+            found = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(marks, pa.list_(pa.int64())), lists]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("version"), *found], names=["doc_id", "version", "key", "n", "fp", "marks", "prefix"])
 
-    out = checkpointed(docs.mapInArrow(run, "doc_id long, version long, key long, n int, fp long, prefix array<long>"))
+    out = checkpointed(docs.mapInArrow(run, "doc_id long, version long, key long, n int, fp long, marks array<long>, prefix array<long>"))
     shared.destroy()
     return out
 
@@ -256,10 +276,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("version"))
     rows = prefixes(docs, words)
     # the least row of each set stands for it; of rows with one id the text that verified() meets is the set's own
-    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    firsts = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
     firsts = checkpointed(firsts)
     done = _printed(firsts, radius)
-    found = verified(docs, done, words)
+    found = verified(docs, checkpointed(marked(done, firsts)), words)
     linked = found
     entries = firsts.select("key", "id", "n", F.posexplode("prefix").alias("at", "shingle"))
     group = Window.partitionBy("shingle")
@@ -281,13 +301,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
         met = _candidates(led.select("shingle", *[c.alias(x) for c, x in zip(of + to, names, strict=True)]).distinct())
         new = checkpointed(met.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         done = done.select("a", "b").union(new.select("a", "b"))
-        linked = linked.union(verified(docs, new.select("a", "b", "a_id", "b_id"), words))
+        linked = linked.union(verified(docs, checkpointed(marked(new.select("a", "b", "a_id", "b_id"), firsts)), words))
         open_ = _different(open_, linked, group)
     x, y = open_.alias("x"), open_.alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
     met = met.where(_possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) & _first_shared(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     met = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id")).distinct()
-    linked = linked.union(verified(docs, checkpointed(met.join(done.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "a_id", "b_id"), words))
+    rest = marked(met.join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "a_id", "b_id"), firsts)
+    linked = linked.union(verified(docs, checkpointed(rest), words))
 
     component = checkpointed(firsts.select("key").join(connected_components(linked).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     # copies of one text are few rows of one key after this partial aggregation
