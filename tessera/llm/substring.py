@@ -29,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_by_key, free_name, pieces, raw, sections, sent, table
+from tessera.llm.common import fold_by_key, free_name, pieces, raw, sections, table
 from tessera.session import checkpointed
 
 #: Words of a window and of a shingle within it.
@@ -41,6 +41,8 @@ WINDOW, SHINGLE = 20, 8
 ROWS, MIN_BITS, MAX_BITS, CELL_TEXT, BLOCK_BITS = 2, 16, 29, 16, 16
 #: Estimated occurrences from which an anchor is heavy, bits of the bitmap of heavy ones, and rows of a group that a task compares at once.
 HEAVY, HEAVY_BITS, GROUP_ROWS = 512, 24, 1 << 16
+#: Bits of the bitmap of texts with spans, for each of them.
+MARK_BITS = 16
 #: Bytes of text that a task holds as arrays at once.
 TEXT_BYTES = 1 << 20
 
@@ -352,6 +354,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
     return out
 
 
+def _marked(by_text: DataFrame, key: str, version: str) -> Column:
+    """Whether a row may be one of by_text: by a broadcast bitmap of MARK_BITS bits or more for each row of it, up to 2**MAX_BITS."""
+    size = 1 << min(MAX_BITS, max(MIN_BITS, (by_text.count() * MARK_BITS).bit_length()))
+    slot = F.pmod(F.xxhash64(key, version), F.lit(size)).cast("int")
+    bits = np.zeros(size >> 3, np.uint8)
+    for batch in by_text.select(slot.alias("slot")).toArrow().to_batches():
+        at = batch.column("slot").to_numpy()
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    shared = by_text.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def has(slots: pa.Array) -> pa.Array:
+        return pa.array(_has(shared.value, slots.to_numpy()))
+
+    return has(slot)
+
+
 def _covered(spans: list[dict], window: int) -> Iterator[bool]:
     """For each word of a text in turn whether it stays; without end."""
     at = 0
@@ -371,14 +390,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
     all others. A null text has no words and stays null. Rows that repeat a document id are
     the same document: a window is earlier in one of them only by its place. Input columns
     of the three names are replaced; further columns pass through. An empty table gives an empty one. Only texts
-    with spans are joined back, by a broadcast where the spans are few.
+    with spans (and about one of 16 others at most) are shuffled to be joined with them; the rest stay where they are read.
     """
     docs = docs.drop("_n_words", "_n_removed", "_kept_sha256")
     key, version, held = (free_name(x, docs.columns) for x in ("_key", "_version", "_spans"))
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), version: F.xxhash64("text")})
     spans = repeated_spans(keyed.select(F.col(key).alias("_key"), F.col(version).alias("_version"), "text"), window, shingle, heavy)
     by_text = checkpointed(spans.groupBy(F.col("_key").alias(key), F.col("_version").alias(version)).agg(F.collect_list(F.struct("start", "n")).alias(held)))
-    joined = keyed.join(sent(by_text, 16 + 24 * F.size(held)), [key, version], "left").drop(key, version)
+    marked = _marked(by_text, key, version)
+    joined = keyed.where(marked).join(by_text, [key, version], "left").unionByName(keyed.where(~marked).withColumn(held, F.lit(None).cast(by_text.schema[held].dataType))).drop(key, version)
     names = docs.columns
     schema = joined.drop(held).schema.add("_n_words", "long").add("_n_removed", "long").add("_kept_sha256", "string")
 

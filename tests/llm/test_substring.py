@@ -117,3 +117,14 @@ def test_long_texts_in_sections(spark, monkeypatch):
 def test_least():
     value, at = substring._least(np.array([3, 1, 1, 2]), 2)
     assert (value.tolist(), at.tolist()) == ([1, 1, 1], [1, 1, 2])
+
+
+def test_only_texts_with_spans_are_sent_to_be_joined(spark):
+    keyed = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 7).alias("v"))
+    by_text = checkpointed(keyed.where("k % 10 = 0"))
+    rows = keyed.withColumn("marked", substring._marked(by_text, "k", "v")).collect()
+    assert all(r["marked"] for r in rows if r["k"] % 10 == 0)
+    assert sum(r["marked"] for r in rows) < 200 + 1800 / 8
+    plan = substring.drop_repeats(fixtures.frame(spark))._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert "Union" in plan[: plan.index("Join")] and "ArrowEvalPython" in join
