@@ -8,7 +8,8 @@ size follows the number of distinct contexts, up to 2**MAX_BITS slots. The
 predictors' log-odds are added with weights that are gated by how much the two longest contexts
 know, and the sum is refined by an adaptive map from (bits so far, log-odds) to probability.
 Weights and map are learned online over all training texts, in the order in which a task reads
-them, each byte's own occurrence left out of its counts: one byte of EVERY, by its place, trains one of its eight bit decisions. A step is one of Newton's with all the curvature met so far, so that what the tasks have learned adds up: the sums of
+them, each byte's own occurrence left out of its counts: all eight bit decisions of every byte. Equal contexts and bytes of a task's piece
+are evaluated once and count as often as they are met. A step is one of Newton's with all the curvature met so far, so that what the tasks have learned adds up: the sums of
 curvature and of curvature times weights, and the map's sums, are merged over the tasks.
 The counts come from all training texts: from distinct
 6-byte sequences and words, which are aggregated before they are folded into the tables, block
@@ -55,9 +56,9 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
 _AB = np.uint64(0x9E3779B97F4A7C15 * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: One byte of EVERY trains a bit decision. Points of the scoring table for each unit of log-odds, up to 16 on both sides.
-EVERY, POINTS = 4, 32
-#: Bits learned from in the first step (later steps are larger, up to MAX_STEP), the prior's curvature and a bit's at least, and the weight of a point of the map before it is learned.
+#: Bytes for each bit decision that is learned: all eight of every byte. Points of the scoring table for each unit of log-odds, up to 16 on both sides.
+EVERY, POINTS = 1 / 8, 32
+#: Different bits learned from in the first step (later steps are larger, up to MAX_STEP), the prior's curvature and a bit's at least, and the weight of a point of the map before it is learned.
 STEP, MAX_STEP, PRIOR, LEAST_CURVE, MAP_PRIOR = 1024, 16_384, 50.0, 0.02, 20.0
 
 
@@ -158,6 +159,13 @@ def _contexts(code: np.ndarray, word: np.ndarray | None) -> dict[int, np.ndarray
     return out if word is None else out | {WORD: word}
 
 
+def _distinct(code: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of code and word in the order in which they are first met, and how often each occurs."""
+    index = pa.array(_mix(code * _A + word)).dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))
+    return code[first], word[first], np.bincount(index)
+
+
 def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return (((context + node.astype(np.uint64) * _A) * _B) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -365,37 +373,36 @@ class Mixer:
         return np.clip(x, -8, 8, out=x), gate
 
     def learn(self, counts: dict[int, np.ndarray], code: np.ndarray, word: np.ndarray) -> None:
-        """Goes over bytes in their order; one of EVERY trains a bit decision, the next one the next bit."""
-        code, word = code[::EVERY], word[::EVERY]
+        """Learns all eight bit decisions of every byte; equal codes and words are one, as many times as they occur, in the order in which they are first met."""
+        code, word, times = _distinct(code, word)
+        context, symbol = _contexts(code, word), (code & np.uint64(255)).astype(np.int64)
         for b in range(8):
-            c = code[b::8]
-            symbol = (c & np.uint64(255)).astype(np.int64)
             bits, nodes = (symbol >> b) & 1, (1 << (7 - b)) | (symbol >> (b + 1))
-            every, gates = self.inputs(counts, _contexts(c, word[b::8]), nodes, bits)
+            every, gates = self.inputs(counts, context, nodes, bits)
             at = 0
             while at < len(symbol):
-                x, gate, bit, node = (v[at : at + self.step] for v in (every, gates, bits, nodes))
+                x, gate, bit, node, n = (v[at : at + self.step] for v in (every, gates, bits, nodes, times))
                 at += self.step
-                self._step(7 - b, x, gate, bit, node)
+                self._step(7 - b, x, gate, bit, node, n)
         self.step = min(2 * self.step, MAX_STEP)
 
-    def _step(self, b: int, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray) -> None:
+    def _step(self, b: int, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray, n: np.ndarray) -> None:
         z = np.clip(np.einsum("nk,nk->n", x, self.weights[b][gate]), -30, 30)
         p = 1 / (1 + np.exp(-z))
         order = np.argsort(gate, kind="stable")
-        xs, error, curve = x[order].astype(np.float64), (bit - p)[order], np.maximum(p * (1 - p), LEAST_CURVE)[order]
+        xs, error, curve = x[order].astype(np.float64), ((bit - p) * n)[order], (np.maximum(p * (1 - p), LEAST_CURVE) * n)[order]
         cuts = np.append(np.flatnonzero(np.diff(gate[order], prepend=-1)), len(order))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            g, part = int(gate[order[lo]]), xs[lo:hi]
-            more = part.T @ (part * curve[lo:hi, None])
-            self.curvature[b, g] += more
-            full = self.curvature[b, g] + PRIOR * np.eye(_INPUTS)
-            before = self.weights[b, g]
-            self.weights[b, g] = before + np.linalg.solve(full, part.T @ error[lo:hi])
-            self.pull[b, g] = full @ self.weights[b, g] - PRIOR * np.append(np.full(_INPUTS - 1, 0.35), 0)
+        met, up = gate[order][cuts[:-1]], np.empty((len(cuts) - 1, _INPUTS))
+        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            part = xs[lo:hi]
+            self.curvature[b, met[k]] += part.T @ (part * curve[lo:hi, None])
+            up[k] = part.T @ error[lo:hi]
+        full = self.curvature[b, met] + PRIOR * np.eye(_INPUTS)
+        self.weights[b, met] += np.linalg.solve(full, up[..., None])[..., 0]
+        self.pull[b, met] = (full @ self.weights[b, met][..., None])[..., 0] - PRIOR * np.append(np.full(_INPUTS - 1, 0.35), 0)
         low, share = self._place(z)
         points = len(_GRID)
-        for place, weight in ((low, 1 - share), (low + 1, share)):
+        for place, weight in ((low, n * (1 - share)), (low + 1, n * share)):
             cell = node * points + place
             self.seen[0] += np.bincount(cell, weight, 256 * points).reshape(256, points)
             self.seen[1] += np.bincount(cell, weight * bit, 256 * points).reshape(256, points)

@@ -155,3 +155,27 @@ def test_frequent_tokens_stay_within_their_bound(spark):
         assert not got or not rest or min(got.values()) > max(rest)
     assert len(lm_score.frequent(rows, 10)) >= 9 and len(lm_score.frequent(rows, 1000)) == 200
     assert lm_score.frequent(rows.limit(0)) == {}
+
+
+def test_every_bit_of_every_byte_is_learned():
+    """Learning from a text is learning from each of its bytes, with all its bits, as often as it is met."""
+    text = b"ab cd ab ce ab cd\n" * 30
+    code, word, _ = lm_score.positions([(b"\n" * 5, text)])
+    bits = {o: 10 for o in lm_score.ORDERS}
+    counts = {o: np.random.default_rng(o).integers(0, 40, (2, 1 << 10)).astype(np.uint16) for o in lm_score.ORDERS}
+    mixer = lm_score.Mixer(bits)
+    start = mixer.weights.copy()
+    mixer.learn(counts, code, word)
+    symbols = np.frombuffer(text, np.uint8)
+    for b in range(8):
+        met = np.bincount((1 << b) | (symbols.astype(np.int64) >> (8 - b)), minlength=256)
+        assert mixer.seen[0].sum(axis=1)[1 << b : 2 << b] == pytest.approx(met[1 << b : 2 << b])
+    # one step: the curvature is the sum over all occurrences at the starting weights
+    assert len({*zip(code.tolist(), word.tolist(), strict=True)}) < lm_score.STEP
+    expected = np.zeros_like(mixer.curvature)
+    for b in range(8):
+        bit, node = (symbols.astype(np.int64) >> b) & 1, (1 << (7 - b)) | (symbols.astype(np.int64) >> (b + 1))
+        x, gate = mixer.inputs(counts, lm_score._contexts(code, word), node, bit)
+        p = 1 / (1 + np.exp(-np.clip((x * start[7 - b][gate]).sum(axis=1), -30, 30)))
+        np.add.at(expected[7 - b], gate, x[:, :, None] * x[:, None, :] * np.maximum(p * (1 - p), lm_score.LEAST_CURVE)[:, None, None])
+    assert np.allclose(mixer.curvature, expected, rtol=1e-4)
