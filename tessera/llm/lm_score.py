@@ -8,8 +8,8 @@ size follows the number of distinct contexts, up to 2**MAX_BITS slots. The
 predictors' log-odds are added with weights that are gated by how much the two longest contexts
 know, and the sum is refined by an adaptive map from (bits so far, log-odds) to probability.
 Weights and map are learned online over all training texts, in the order in which a task reads
-them, each byte's own occurrence left out of its counts: all eight bit decisions of every byte. Equal contexts and bytes of a task's piece
-are evaluated once and count as often as they are met. A step is one of Newton's with all the curvature met so far, so that what the tasks have learned adds up: the sums of
+them, each byte's own occurrence left out of its counts: all eight bit decisions of every byte. Equal contexts and bytes of a task are tallied; as many as
+a tally holds are evaluated once and count as often as they are met. A step is one of Newton's with all the curvature met so far, so that what the tasks have learned adds up: the sums of
 curvature and of curvature times weights, and the map's sums, are merged over the tasks.
 The counts come from all training texts: from distinct
 6-byte sequences and words, which are aggregated before they are folded into the tables, block
@@ -41,12 +41,14 @@ WORD = 0
 ORDERS = (1, 3, 4, 5, WORD)
 #: Bits of the tables of 1 and 3 bytes, and of the others at least and at most (4 bytes: one less); slots for each distinct 6-byte sequence and word.
 SMALL_BITS, LEAST_BITS, MAX_BITS, GRAM_SLOTS, WORD_SLOTS = {1: 16, 3: 20}, 17, 23, 8, 32
-#: Frequent tokens that are broadcast, and bytes from which one goes as its hash; cached evaluations of a worker (bits).
-HEAD, HEAD_BYTES, CACHE_BITS = 65_536, 1024, 22
+#: Frequent tokens that are broadcast, and bytes from which one goes as its hash; cached evaluations of a worker (bits), and how many codes are looked up at once.
+HEAD, HEAD_BYTES, CACHE_BITS, AT_ONCE = 65_536, 1024, 22, 1 << 17
 #: Classes of counts for each doubling, by which the frequent tokens are found.
 CLASSES = 64
-#: Bytes of a part of a text; bytes of text whose positions a task holds at once (about 60 bytes of arrays for each), when scoring and when counting.
-CHUNK, POSITION_BYTES, GRAM_BYTES = 1 << 16, 1 << 19, 1 << 20
+#: Bytes of a part of a text; bytes of text whose codes a task holds at once, and of those for which they are made at once (about 60 bytes of arrays for each, small enough for a processor's cache).
+CHUNK, POSITION_BYTES, PART_BYTES = 1 << 16, 1 << 19, 1 << 16
+#: Slots of a tally (bits), and the tokens and their bytes that a task counts at once.
+TALLY_BITS, TOKENS, TOKEN_BYTES = 21, 1 << 17, 1 << 22
 #: Distinct sequences, and bytes of distinct words, that a task folds into tables.
 FOLD_ROWS, FOLD_BYTES = 1 << 21, 1 << 24
 #: The token that ends a text (no word holds white space), and the bytes of context before a text.
@@ -58,8 +60,8 @@ _AB = np.uint64(0x9E3779B97F4A7C15 * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes for each bit decision that is learned: all eight of every byte. Points of the scoring table for each unit of log-odds, up to 16 on both sides.
 EVERY, POINTS = 1 / 8, 32
-#: Different bits learned from in the first step (later steps are larger, up to MAX_STEP), the prior's curvature and a bit's at least, and the weight of a point of the map before it is learned.
-STEP, MAX_STEP, PRIOR, LEAST_CURVE, MAP_PRIOR = 1024, 16_384, 50.0, 0.02, 20.0
+#: Different bytes learned from in the first step (later steps are larger, one of STEP_SHARE of those before, up to MAX_STEP), the prior's curvature and a bit's at least, and the weight of a point of the map before it is learned.
+STEP, MAX_STEP, STEP_SHARE, PRIOR, LEAST_CURVE, MAP_PRIOR = 1024, 16_384, 32, 50.0, 0.02, 20.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -136,10 +138,9 @@ def codes(docs: list[Part]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     sizes = np.fromiter((len(x) for _, x in docs), np.int64, len(docs))
     doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
     at = np.arange(int(sizes.sum())) + (doc.astype(np.int64) + 1) * (GRAM - 1)
-    code = joined[at].astype(np.uint64)
-    for k in range(1, GRAM):
-        code |= joined[at - k].astype(np.uint64) << np.uint64(8 * k)
-    return code, doc, joined, at
+    # eight bytes from each place, the first one highest; the last GRAM - 1 places begin no code
+    eight = np.ndarray(max(0, len(joined) - GRAM + 1), ">u8", joined.tobytes() + b"\0\0", strides=(1,))
+    return (eight.astype(np.uint64) >> np.uint64(64 - 8 * GRAM))[at - (GRAM - 1)], doc, joined, at
 
 
 def positions(docs: list[Part]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,11 +160,68 @@ def _contexts(code: np.ndarray, word: np.ndarray | None) -> dict[int, np.ndarray
     return out if word is None else out | {WORD: word}
 
 
-def _distinct(code: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of code and word in the order in which they are first met, and how often each occurs."""
-    index = pa.array(_mix(code * _A + word)).dictionary_encode().indices.to_numpy()
+def _pair(code: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+    """A hash of code, or of code and word; never zero."""
+    return np.maximum(_mix(code * _A if word is None else code * _A + word), np.uint64(1))
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different codes, or pairs of code and word, in the order in which they are first met, and how often each occurs."""
+    index = pa.array(_pair(*columns)).dictionary_encode().indices.to_numpy()
     first = np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))
-    return code[first], word[first], np.bincount(index)
+    return *(c[first] for c in columns), np.bincount(index)
+
+
+class Tally:
+    """How often each key occurs, with the key's columns; keys are added until there are many, then taken.
+
+    A key is held in the slot that its hash gives. Where another one holds it, its occurrences are put aside, and counted when they are taken.
+    """
+
+    def __init__(self, columns: int):
+        self.keys, self.counts = np.zeros(1 << TALLY_BITS, np.uint64), np.zeros(1 << TALLY_BITS, np.int64)
+        self.columns = [np.zeros(1 << TALLY_BITS, np.uint64) for _ in range(columns)]
+        self.held, self.aside, self.size, self.beside = [], [], 0, 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        for at in range(0, len(columns[0]), AT_ONCE):
+            self._add([c[at : at + AT_ONCE] for c in columns])
+
+    def _add(self, columns: list[np.ndarray]) -> None:
+        key = _pair(*columns)
+        slot = (key >> np.uint64(64 - TALLY_BITS)).astype(np.int64)
+        found = self.keys[slot]
+        free = np.flatnonzero(found == 0)
+        if len(free):
+            self.keys[slot[free][::-1]] = key[free][::-1]  # of several the first
+            found[free] = self.keys[slot[free]]
+            mine = free[found[free] == key[free]]
+            index = pa.array(slot[mine]).dictionary_encode().indices.to_numpy()
+            new = mine[np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))]
+            for kept, given in zip(self.columns, columns, strict=True):
+                kept[slot[new]] = given[new]
+            self.held.append(slot[new])
+            self.size += len(new)
+        same = found == key
+        np.add.at(self.counts, slot[same], 1)
+        if not same.all():
+            self.aside.append([c[~same] for c in columns])
+            self.beside += len(self.aside[-1][0])
+
+    def full(self) -> bool:
+        return self.size >= 1 << (TALLY_BITS - 1) or self.beside >= 1 << (TALLY_BITS - 1)
+
+    def take(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The keys' columns, about in the order in which they are first met, and how often each occurs; none is held after that."""
+        held = np.concatenate([np.empty(0, np.int64), *self.held])
+        columns, counts = [c[held] for c in self.columns], self.counts[held]
+        if self.aside:
+            rest = [np.concatenate(c) for c in zip(*self.aside, strict=True)]
+            *rest, times = _distinct(*rest)
+            columns, counts = [np.concatenate(c) for c in zip(columns, rest, strict=True)], np.concatenate([counts, times])
+        self.keys[held], self.counts[held] = 0, 0
+        self.held, self.aside, self.size, self.beside = [], [], 0, 0
+        return columns, counts
 
 
 def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -198,23 +256,45 @@ def _batch(folds: list[Fold]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["predictor", "block", "counts"])
 
 
+def _many(some: Iterable[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """The arrays of some put together, until there are about POSITION_BYTES of them."""
+    held, size = [], 0
+    for x in some:
+        held.append(x)
+        size += len(x[0])
+        if size >= POSITION_BYTES:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): distinct 6-byte codes of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=GRAM_BYTES):
-            for _, held in held_parts(raw(piece), GRAM_BYTES):
-                gram, n = np.unique(codes(held)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+        tally = Tally(1)
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            (gram,), n = tally.take()
+            for at in range(0, len(gram), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(gram[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)], pa.int64())], names=["gram", "n"])
+
+        for code in _many(codes(held)[:1] for piece in pieces(batches, limit=POSITION_BYTES) for _, held in held_parts(raw(piece), PART_BYTES)):
+            tally.add(*code)
+            if tally.full():
+                yield from taken()
+        yield from taken()
 
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _words(text: bytes) -> Counter[bytes]:
-    counts: Counter[bytes] = Counter()
+def _words(text: bytes, counts: Counter[bytes] | None = None) -> Counter[bytes]:
+    """The counts of the text's tokens, beside those that are given."""
+    counts = Counter() if counts is None else counts
     for section in sections(text):
         counts.update(section.lower().split())
-    counts[END] = 1
+    counts[END] += 1
     return counts
 
 
@@ -222,11 +302,22 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(token binary, n), each text's end among the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        size = 0
+
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+
         for piece in pieces(batches):
-            counts: Counter[bytes] = Counter()
             for x in raw(piece):
-                counts.update(_words(x))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+                _words(x, counts)
+                size += len(x)
+            # words held are at most as long as the texts read; most texts repeat words
+            if size >= TOKEN_BYTES and (len(counts) >= TOKENS or (size := sum(map(len, counts))) >= TOKEN_BYTES):
+                yield taken()
+                counts.clear()
+                size = 0
+        yield taken()
 
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -302,6 +393,11 @@ def _pack(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joint(counts: np.ndarray) -> np.ndarray:
+    """Of each slot's two counts one 32-bit number, with the ones above, so that both are met in one place."""
+    return counts if counts.ndim == 1 else counts[0] | counts[1].astype(np.uint32) << np.uint32(16)
+
+
 _GRID = np.linspace(-8, 8, 33)
 
 
@@ -312,7 +408,7 @@ class Mixer:
     """
 
     def __init__(self, bits: dict[int, int], packed: dict[int, np.ndarray] | None = None):
-        self.bits, self.packed, self.name, self.step = bits, packed, uuid.uuid4().hex, STEP
+        self.bits, self.packed, self.name, self.learned = bits, packed, uuid.uuid4().hex, 0
         self.curvature = np.zeros((8, _GATES, _INPUTS, _INPUTS))
         self.pull = np.zeros((8, _GATES, _INPUTS))
         self.seen = np.zeros((2, 256, len(_GRID)))  # weight of bits and of ones at the map's points
@@ -361,10 +457,12 @@ class Mixer:
     def inputs(self, counts: dict[int, np.ndarray], context: dict[int, np.ndarray], node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Predictors' log-odds and the gate; this occurrence of bit is left out of the counts."""
         x, gate, one_more = np.empty((len(node), _INPUTS), np.float32), 0, bit.astype(np.uint16)
+        counts = {o: _joint(c) for o, c in counts.items()}
         branch = node.astype(np.uint64) * _AB
         for k, o in enumerate(ORDERS):
             slot = ((context[o] * _B + branch) >> np.uint64(64 - self.bits[o])).view(np.int64)  # as _slot() has it
-            zero, one = counts[o][0][slot], counts[o][1][slot]
+            both = counts[o][slot]
+            zero, one = both.astype(np.uint16), (both >> np.uint32(16)).astype(np.uint16)
             zero, one = zero - ((1 - one_more) & (zero > 0)), one - (one_more & (one > 0))
             x[:, k] = _LOG[one] - _LOG[zero]
             if o in (5, WORD):
@@ -372,40 +470,48 @@ class Mixer:
         x[:, -1] = 0.3
         return np.clip(x, -8, 8, out=x), gate
 
-    def learn(self, counts: dict[int, np.ndarray], code: np.ndarray, word: np.ndarray) -> None:
-        """Learns all eight bit decisions of every byte; equal codes and words are one, as many times as they occur, in the order in which they are first met."""
-        code, word, times = _distinct(code, word)
-        context, symbol = _contexts(code, word), (code & np.uint64(255)).astype(np.int64)
-        for b in range(8):
-            bits, nodes = (symbol >> b) & 1, (1 << (7 - b)) | (symbol >> (b + 1))
-            every, gates = self.inputs(counts, context, nodes, bits)
-            at = 0
-            while at < len(symbol):
-                x, gate, bit, node, n = (v[at : at + self.step] for v in (every, gates, bits, nodes, times))
-                at += self.step
-                self._step(7 - b, x, gate, bit, node, n)
-        self.step = min(2 * self.step, MAX_STEP)
+    def learn(self, counts: dict[int, np.ndarray], code: np.ndarray, word: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Learns all eight bit decisions of every byte; equal codes and words are one, as many times as they occur, in the order in which they are first met.
+
+        times: how often each pair of code and word occurs, where that has been counted.
+        """
+        if times is None:
+            code, word, times = _distinct(code, word)
+        counts = {o: _joint(c) for o, c in counts.items()}
+        at = 0
+        while at < len(code):
+            step = min(MAX_STEP, max(STEP, self.learned // STEP_SHARE))
+            c, n = code[at : at + step], times[at : at + step]
+            context, symbol = _contexts(c, word[at : at + step]), (c & np.uint64(255)).astype(np.int64)
+            for b in range(8):
+                bit, node = (symbol >> b) & 1, (1 << (7 - b)) | (symbol >> (b + 1))
+                self._step(7 - b, *self.inputs(counts, context, node, bit), bit, node, n)
+            at += step
+            self.learned += len(c)
 
     def _step(self, b: int, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray, n: np.ndarray) -> None:
-        z = np.clip(np.einsum("nk,nk->n", x, self.weights[b][gate]), -30, 30)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        x, gate, bit, node, n = x[order].astype(np.float64), gate[order], bit[order], node[order], n[order]
+        cuts = np.append(np.flatnonzero(np.diff(gate, prepend=-1)), len(order))
+        met, up, z = gate[cuts[:-1]], np.empty((len(cuts) - 1, _INPUTS)), np.empty(len(order))
+        spans = [*zip(met.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for g, lo, hi in spans:
+            np.dot(x[lo:hi], self.weights[b, g], out=z[lo:hi])
+        z = np.clip(z, -30, 30)
         p = 1 / (1 + np.exp(-z))
-        order = np.argsort(gate, kind="stable")
-        xs, error, curve = x[order].astype(np.float64), ((bit - p) * n)[order], (np.maximum(p * (1 - p), LEAST_CURVE) * n)[order]
-        cuts = np.append(np.flatnonzero(np.diff(gate[order], prepend=-1)), len(order))
-        met, up = gate[order][cuts[:-1]], np.empty((len(cuts) - 1, _INPUTS))
-        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            part = xs[lo:hi]
-            self.curvature[b, met[k]] += part.T @ (part * curve[lo:hi, None])
-            up[k] = part.T @ error[lo:hi]
+        error, curve = (bit - p) * n, x * (np.maximum(p * (1 - p), LEAST_CURVE) * n)[:, None]
+        for k, (g, lo, hi) in enumerate(spans):
+            self.curvature[b, g] += x[lo:hi].T @ curve[lo:hi]
+            up[k] = error[lo:hi] @ x[lo:hi]
         full = self.curvature[b, met] + PRIOR * np.eye(_INPUTS)
         self.weights[b, met] += np.linalg.solve(full, up[..., None])[..., 0]
         self.pull[b, met] = (full @ self.weights[b, met][..., None])[..., 0] - PRIOR * np.append(np.full(_INPUTS - 1, 0.35), 0)
         low, share = self._place(z)
-        points = len(_GRID)
+        points, first, last = len(_GRID), 1 << b, 2 << b  # the nodes of this bit
         for place, weight in ((low, n * (1 - share)), (low + 1, n * share)):
-            cell = node * points + place
-            self.seen[0] += np.bincount(cell, weight, 256 * points).reshape(256, points)
-            self.seen[1] += np.bincount(cell, weight * bit, 256 * points).reshape(256, points)
+            cell = (node - first) * points + place
+            self.seen[0, first:last] += np.bincount(cell, weight, first * points).reshape(first, points)
+            self.seen[1, first:last] += np.bincount(cell, weight * bit, first * points).reshape(first, points)
 
     def logs(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte."""
@@ -443,7 +549,7 @@ class Cache:
 
     def __init__(self, mixer: Mixer):
         self.mixer = mixer
-        self.keys, self.values = np.zeros(1 << CACHE_BITS, np.uint64), np.zeros(1 << CACHE_BITS, np.float32)
+        self.slots = np.zeros(1 << CACHE_BITS, np.uint64)  # 32 bits of the key beyond the slot's number, 32 of the value
 
     @classmethod
     def of(cls, mixer: Mixer) -> Cache:
@@ -454,32 +560,46 @@ class Cache:
         return cls.kept[1]
 
     def logs(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key = _mix(code * _A + word) | np.uint64(1)
-        slot = (key >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.values[slot].astype(np.float64)
-        gone = np.flatnonzero(self.keys[slot] != key)
+        out = np.empty(len(code))
+        for at in range(0, len(code), AT_ONCE):
+            out[at : at + AT_ONCE] = self._logs(code[at : at + AT_ONCE], word[at : at + AT_ONCE])
+        return out
+
+    def _logs(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+        key = _pair(code, word) | np.uint64(1)
+        slot, mark = (key >> np.uint64(64 - CACHE_BITS)).view(np.int64), key.astype(np.uint32)
+        found = self.slots[slot]
+        out = found.astype(np.uint32).view(np.float32)
+        gone = np.flatnonzero((found >> np.uint64(32)).astype(np.uint32) != mark)
         if len(gone):
             new, first, back = np.unique(key[gone], return_index=True, return_inverse=True)
-            value = self.mixer.logs(code[gone[first]], word[gone[first]])
-            value = value.astype(np.float32)
+            value = self.mixer.logs(code[gone[first]], word[gone[first]]).astype(np.float32)
             out[gone] = value[back]
-            slots = slot[gone[first]]
-            self.keys[slots], self.values[slots] = new, value
+            self.slots[slot[gone[first]]] = new << np.uint64(32) | value.view(np.uint32)
         return out
 
 
+def learn_texts(mixer: Mixer, counts: dict[int, np.ndarray], batches: Iterable[pa.RecordBatch]) -> None:
+    """The mixer learns all texts of the batches, equal codes and words of as many texts as a tally holds at once."""
+    tally = Tally(2)
+    for pairs in _many(positions(held)[:2] for piece in pieces(batches, limit=POSITION_BYTES) for _, held in held_parts(raw(piece), PART_BYTES)):
+        tally.add(*pairs)
+        if tally.full():
+            (code, word), times = tally.take()
+            mixer.learn(counts, code, word, times)
+    (code, word), times = tally.take()
+    mixer.learn(counts, code, word, times)
+
+
 def train(docs: DataFrame, tokens: DataFrame) -> Mixer:
     """The model of docs (text); tokens: their token_counts(), as a checkpoint."""
     counts = tables(checkpointed(gram_counts(docs)), tokens)
     bits = {o: x.shape[1].bit_length() - 1 for o, x in counts.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast({o: _joint(x) for o, x in counts.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(bits)
-        for piece in pieces(batches, limit=POSITION_BYTES):
-            for _, held in held_parts(raw(piece), POSITION_BYTES):
-                code, word, _ = positions(held)
-                mixer.learn(shared.value, code, word)
+        learn_texts(mixer, shared.value, batches)
         sums = list(mixer.sums())
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sums], pa.int32()), pa.array([v for _, v in sums], pa.binary())], names=["cell", "learned"])
 
@@ -542,7 +662,7 @@ def score(docs: DataFrame, training: DataFrame, head: int = HEAD) -> DataFrame:
         for piece in pieces(batches, limit=POSITION_BYTES):
             text = raw(piece)
             total, size = np.zeros(len(text)), np.zeros(len(text), np.int64)
-            for owner, held in held_parts(text, POSITION_BYTES):
+            for owner, held in held_parts(text, PART_BYTES):
                 code, word, part = positions(held)
                 total += np.bincount(owner[part], cache.logs(code, word), len(text))
                 size += np.bincount(owner[part], minlength=len(text))

@@ -179,3 +179,43 @@ def test_every_bit_of_every_byte_is_learned():
         p = 1 / (1 + np.exp(-np.clip((x * start[7 - b][gate]).sum(axis=1), -30, 30)))
         np.add.at(expected[7 - b], gate, x[:, :, None] * x[:, None, :] * np.maximum(p * (1 - p), lm_score.LEAST_CURVE)[:, None, None])
     assert np.allclose(mixer.curvature, expected, rtol=1e-4)
+
+
+def test_a_tally_counts_every_pair(monkeypatch):
+    """Small tallies put most pairs aside and are taken often; what they count in all is what plain counting gives."""
+    rng = np.random.default_rng(5)
+    code, word = rng.zipf(1.2, 20_000).astype(np.uint64) % np.uint64(3000), rng.integers(0, 3, 20_000).astype(np.uint64)
+    want = Counter(zip(code.tolist(), word.tolist(), strict=True))
+    for bits in (4, 9, 16):
+        monkeypatch.setattr(lm_score, "TALLY_BITS", bits)
+        tally, got = lm_score.Tally(2), Counter()
+
+        def take(tally=tally, got=got):
+            (c, w), n = tally.take()
+            pairs = list(zip(c.tolist(), w.tolist(), strict=True))
+            assert len(pairs) == len(n)
+            for pair, k in zip(pairs, n.tolist(), strict=True):
+                got[pair] += k
+
+        for at in range(0, len(code), 700):
+            tally.add(code[at : at + 700], word[at : at + 700])
+            if tally.full():
+                take()
+        take()
+        take()
+        assert got == want
+
+
+def test_a_task_evaluates_equal_pairs_once(spark, monkeypatch):
+    """Text that comes again later in a task costs no further evaluations, and counts as often as it is met."""
+    text = " ".join(f"w{i} x{i % 7}" for i in range(4000))
+    docs = spark.createDataFrame([(text,)] * 60, "text string").coalesce(1)
+    assert 60 * len(text) > 2 * lm_score.POSITION_BYTES
+    counts = {o: lm_score._joint(np.zeros((2, 1 << 10), np.uint16)) for o in lm_score.ORDERS}
+    mixer, sizes = lm_score.Mixer({o: 10 for o in lm_score.ORDERS}), []
+    learn = mixer.learn
+    monkeypatch.setattr(mixer, "learn", lambda counts, code, word, times: (sizes.append(len(code)), learn(counts, code, word, times)))
+    lm_score.learn_texts(mixer, counts, iter(docs.toArrow().to_batches()))
+    code, word, _ = lm_score.positions(whole(text.encode()))
+    assert sum(sizes) == len({*zip(code.tolist(), word.tolist(), strict=True)})
+    assert mixer.seen[0].sum() == pytest.approx(60 * 8 * len(code))
