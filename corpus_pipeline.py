@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: quality, near-dedup, substring dedup, decontamination, packing.
 
-Each stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
+Each stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents. A stage begins
+with give_back_heap(), so that an executor doesn't hold the heap of all stages beside its Python workers.
 Columns beyond those, whatever their names, are left behind; null texts are empty, except that a text that a stage
 doesn't change keeps its form; an empty table gives an empty one.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, packing, quality, substring
 from tessera.llm.common import sent
-from tessera.session import checkpointed, small_batches
+from tessera.session import checkpointed, give_back_heap, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (low quality or toxic) go. Repeated rows share their fate; a null source or lang is a site of its own."""
+    give_back_heap(spark)
     return quality.classify(docs.select(*COLUMNS), _table(spark, sf_dir, "labels")).where("_keep").select(*COLUMNS)
 
 
@@ -32,6 +34,7 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows that share an id are told apart by their texts; of rows equal in both one stays. A document with a null id stays.
     """
+    give_back_heap(spark)
     docs = docs.select(*COLUMNS).withColumn("_version", F.xxhash64("text"))
     classes = checkpointed(jaccard.near_duplicates(docs))
     gone = checkpointed(classes.where("not first").select("doc_id", F.col("version").alias("_version")).distinct())
@@ -44,17 +47,20 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also start earlier are cut out; a document with no word left goes. n_chars follows the text. A text without words stays as it is."""
+    give_back_heap(spark)
     done = substring.drop_repeats(docs.select(*COLUMNS))
     return done.where("_n_removed < _n_words or _n_words = 0").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark passages go. A null or empty text is clean."""
+    give_back_heap(spark)
     return decontam.mark(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark")).where("not _contaminated").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences, as op8_packing packs them; repeated rows each on their own, a null text as its separator."""
+    give_back_heap(spark)
     small_batches(spark)
     return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 

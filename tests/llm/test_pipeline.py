@@ -1,4 +1,7 @@
+import pytest
+
 import corpus_pipeline
+from tessera import session
 from tests.llm import fixtures
 from tests.llm.test_decontam import plain
 from tests.llm.test_jaccard import plain_components
@@ -54,3 +57,27 @@ def test_near_dedup_of_repeated_and_clashing_ids(spark):
     docs = spark.createDataFrame(rows, fixtures.SCHEMA).repartition(4)
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, fixtures.SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, text), (3, rows[2][1]), (5, rows[3][1]), (0, text), (0, text), (7, "")])
+
+
+def test_each_stage_begins_by_giving_back_heap(spark, monkeypatch):
+    class Begun(Exception):
+        pass
+
+    def begin(given):
+        assert given is spark
+        raise Begun
+
+    monkeypatch.setattr(corpus_pipeline, "give_back_heap", begin)
+    docs = spark.read.parquet(f"{fixtures.SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, docs, fixtures.SF)
+
+
+def test_heap_is_given_back(spark):
+    """The tasks have the JVM collect all of its garbage."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(x.getCollectionCount() for x in beans() if "Young" not in x.getName())
+    before = full()
+    session.give_back_heap(spark)
+    assert full() > before
