@@ -24,16 +24,17 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_by_key, pieces, raw, sections, table
+from tessera.llm.common import PIECE_BYTES, fold_by_key, pieces, raw, sections, table
 from tessera.session import checkpointed
 
 #: Predictors: contexts of 1, 3, 4, 5 bytes, and the word so far.
@@ -47,8 +48,8 @@ HEAD, HEAD_BYTES, CACHE_BITS, AT_ONCE = 65_536, 1024, 22, 1 << 17
 CLASSES = 64
 #: Bytes of a part of a text; bytes of text whose codes a task holds at once, and of those for which they are made at once (about 60 bytes of arrays for each, small enough for a processor's cache).
 CHUNK, POSITION_BYTES, PART_BYTES = 1 << 16, 1 << 19, 1 << 16
-#: Slots of a tally (bits), and the tokens and their bytes that a task counts at once.
-TALLY_BITS, TOKENS, TOKEN_BYTES = 21, 1 << 17, 1 << 22
+#: Slots of a tally (bits), and the bytes of words, with their places, that a task counts at once.
+TALLY_BITS, TOKEN_BYTES = 21, 1 << 24
 #: Distinct sequences, and bytes of distinct words, that a task folds into tables.
 FOLD_ROWS, FOLD_BYTES = 1 << 21, 1 << 24
 #: The token that ends a text (no word holds white space), and the bytes of context before a text.
@@ -165,10 +166,15 @@ def _pair(code: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
     return np.maximum(_mix(code * _A if word is None else code * _A + word), np.uint64(1))
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key the number of its value, in the order in which values are first met, and where each value is met first."""
+    index = pa.array(keys).dictionary_encode().indices.to_numpy()
+    return index, np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))
+
+
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """The different codes, or pairs of code and word, in the order in which they are first met, and how often each occurs."""
-    index = pa.array(_pair(*columns)).dictionary_encode().indices.to_numpy()
-    first = np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))
+    index, first = _numbered(_pair(*columns))
     return *(c[first] for c in columns), np.bincount(index)
 
 
@@ -193,14 +199,15 @@ class Tally:
         found = self.keys[slot]
         free = np.flatnonzero(found == 0)
         if len(free):
-            self.keys[slot[free][::-1]] = key[free][::-1]  # of several the first
-            found[free] = self.keys[slot[free]]
-            mine = free[found[free] == key[free]]
-            index = pa.array(slot[mine]).dictionary_encode().indices.to_numpy()
-            new = mine[np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))]
+            at = slot[free]
+            self.counts[at[::-1]] = free[::-1]  # of several the first
+            new = free[self.counts[at] == free]
+            taken = slot[new]
+            self.counts[taken], self.keys[taken] = 0, key[new]
+            found[free] = self.keys[at]
             for kept, given in zip(self.columns, columns, strict=True):
-                kept[slot[new]] = given[new]
-            self.held.append(slot[new])
+                kept[taken] = given[new]
+            self.held.append(taken)
             self.size += len(new)
         same = found == key
         np.add.at(self.counts, slot[same], 1)
@@ -289,35 +296,51 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _words(text: bytes, counts: Counter[bytes] | None = None) -> Counter[bytes]:
-    """The counts of the text's tokens, beside those that are given."""
-    counts = Counter() if counts is None else counts
-    for section in sections(text):
-        counts.update(section.lower().split())
-    counts[END] += 1
-    return counts
+def words_of(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The lower-cased words of about PIECE_BYTES of texts at once, each with the number of its text; a longer text goes in sections."""
+
+    def put() -> tuple[np.ndarray, pa.Array]:
+        _, ends, data = pa.array(held, pa.binary()).buffers()
+        split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(held), ends, data))
+        words = split.flatten().cast(pa.binary())
+        own, filled = np.repeat(owner, split.value_lengths().to_numpy()), pc.binary_length(words).to_numpy() > 0
+        return (own, words) if filled.all() else (own[filled], words.filter(pa.array(filled)))  # none is empty but those at a section's ends
+
+    owner, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for section in sections(text):
+            owner.append(i)
+            held.append(section.lower())
+            size += len(section)
+            if size >= PIECE_BYTES:
+                yield put()
+                owner, held, size = [], [], 0
+    if held:
+        yield put()
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token binary, n), each text's end among the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        size = 0
+        held, size, ends = [], 0, 0
 
         def taken() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+            counted = pa.chunked_array(held, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays(counted.flatten(), names=["token", "n"])
 
         for piece in pieces(batches):
-            for x in raw(piece):
-                _words(x, counts)
-                size += len(x)
-            # words held are at most as long as the texts read; most texts repeat words
-            if size >= TOKEN_BYTES and (len(counts) >= TOKENS or (size := sum(map(len, counts))) >= TOKEN_BYTES):
-                yield taken()
-                counts.clear()
-                size = 0
+            text = raw(piece)
+            ends += len(text)
+            for _, words in words_of(text):
+                held.append(words)
+                size += words.nbytes
+                if size >= TOKEN_BYTES:
+                    yield taken()
+                    held, size = [], 0
         yield taken()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -420,6 +443,7 @@ class Mixer:
         self.weights = np.linalg.solve(self.curvature + PRIOR * np.eye(_INPUTS), (self.pull + PRIOR * start)[..., None])[..., 0]
         prior = 1 / (1 + np.exp(-_GRID))
         self.map = np.clip((self.seen[1] + MAP_PRIOR * prior) / (self.seen[0] + MAP_PRIOR), 1e-5, 1 - 1e-5)
+        self.scoring: tuple[np.ndarray, np.ndarray] | None = None
 
     def sums(self) -> Iterator[tuple[int, bytes]]:
         """What has been learned, by cell."""
@@ -456,19 +480,25 @@ class Mixer:
 
     def inputs(self, counts: dict[int, np.ndarray], context: dict[int, np.ndarray], node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Predictors' log-odds and the gate; this occurrence of bit is left out of the counts."""
-        x, gate, one_more = np.empty((len(node), _INPUTS), np.float32), 0, bit.astype(np.uint16)
-        counts = {o: _joint(c) for o, c in counts.items()}
-        branch = node.astype(np.uint64) * _AB
+        return self._inputs({o: _joint(c) for o, c in counts.items()}, {o: c * _B for o, c in context.items()}, node, bit)
+
+    def _inputs(self, counts: dict[int, np.ndarray], spread: dict[int, np.ndarray], node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """inputs() of joint counts and of contexts times _B, which all bits of a byte share."""
+        x, gate = np.empty((_INPUTS, len(node)), np.float32), 0
+        branch, own_at = node.astype(np.uint64) * _AB, bit.astype(np.uint32) << np.uint32(4)
+        other_at = np.uint32(16) - own_at
         for k, o in enumerate(ORDERS):
-            slot = ((context[o] * _B + branch) >> np.uint64(64 - self.bits[o])).view(np.int64)  # as _slot() has it
-            both = counts[o][slot]
-            zero, one = both.astype(np.uint16), (both >> np.uint32(16)).astype(np.uint16)
-            zero, one = zero - ((1 - one_more) & (zero > 0)), one - (one_more & (one > 0))
-            x[:, k] = _LOG[one] - _LOG[zero]
+            both = counts[o].take(((spread[o] + branch) >> np.uint64(64 - self.bits[o])).view(np.int64))  # as _slot() has it
+            own, other = (both >> own_at) & np.uint32(65535), (both >> other_at) & np.uint32(65535)
+            own -= own > 0
+            np.divide(own.astype(np.float32) + np.float32(0.3), other.astype(np.float32) + np.float32(0.3), out=x[k])
             if o in (5, WORD):
-                gate = (gate << KNOWN_BITS) + _KNOWN[np.minimum(np.minimum(zero, 64) + np.minimum(one, 64), 64)]
-        x[:, -1] = 0.3
-        return np.clip(x, -8, 8, out=x), gate
+                gate = (gate << KNOWN_BITS) + _KNOWN.take(np.minimum(own + other, 64))
+        odds = np.log(x[:-1], out=x[:-1])
+        np.clip(odds, -8, 8, out=odds)
+        odds *= (2 * bit - 1).astype(np.float32)
+        x[-1] = 0.3
+        return x.T, gate
 
     def learn(self, counts: dict[int, np.ndarray], code: np.ndarray, word: np.ndarray, times: np.ndarray | None = None) -> None:
         """Learns all eight bit decisions of every byte; equal codes and words are one, as many times as they occur, in the order in which they are first met.
@@ -482,65 +512,76 @@ class Mixer:
         while at < len(code):
             step = min(MAX_STEP, max(STEP, self.learned // STEP_SHARE))
             c, n = code[at : at + step], times[at : at + step]
-            context, symbol = _contexts(c, word[at : at + step]), (c & np.uint64(255)).astype(np.int64)
+            spread, symbol = {o: x * _B for o, x in _contexts(c, word[at : at + step]).items()}, (c & np.uint64(255)).astype(np.int64)
             for b in range(8):
                 bit, node = (symbol >> b) & 1, (1 << (7 - b)) | (symbol >> (b + 1))
-                self._step(7 - b, *self.inputs(counts, context, node, bit), bit, node, n)
+                self._step(7 - b, *self._inputs(counts, spread, node, bit), bit, node, n)
             at += step
             self.learned += len(c)
 
     def _step(self, b: int, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, node: np.ndarray, n: np.ndarray) -> None:
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        x, gate, bit, node, n = x[order].astype(np.float64), gate[order], bit[order], node[order], n[order]
+        x, gate, bit, node, n = x.T.take(order, axis=1).astype(np.float64), gate.take(order), bit.take(order), node.take(order), n.take(order)
         cuts = np.append(np.flatnonzero(np.diff(gate, prepend=-1)), len(order))
-        met, up, z = gate[cuts[:-1]], np.empty((len(cuts) - 1, _INPUTS)), np.empty(len(order))
-        spans = [*zip(met.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        for g, lo, hi in spans:
-            np.dot(x[lo:hi], self.weights[b, g], out=z[lo:hi])
-        z = np.clip(z, -30, 30)
+        met = gate[cuts[:-1]]
+        z = np.einsum("kn,kn->n", x, np.repeat(self.weights[b, met].T, np.diff(cuts), axis=1))
+        z = np.clip(z, -30, 30, out=z)
         p = 1 / (1 + np.exp(-z))
-        error, curve = (bit - p) * n, x * (np.maximum(p * (1 - p), LEAST_CURVE) * n)[:, None]
-        for k, (g, lo, hi) in enumerate(spans):
-            self.curvature[b, g] += x[lo:hi].T @ curve[lo:hi]
-            up[k] = error[lo:hi] @ x[lo:hi]
+        # of each input its product with the curvature, and below them the error
+        both = np.empty((_INPUTS + 1, len(order)))
+        np.multiply(x, np.maximum(p * (1 - p), LEAST_CURVE) * n, out=both[:-1])
+        np.multiply(bit - p, n, out=both[-1])
+        sums = np.empty((len(met), _INPUTS + 1, _INPUTS))
+        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            np.dot(both[:, lo:hi], x[:, lo:hi].T, out=sums[k])
+        self.curvature[b, met] += sums[:, :-1]
         full = self.curvature[b, met] + PRIOR * np.eye(_INPUTS)
-        self.weights[b, met] += np.linalg.solve(full, up[..., None])[..., 0]
+        self.weights[b, met] += np.linalg.solve(full, sums[:, -1, :, None])[..., 0]
         self.pull[b, met] = (full @ self.weights[b, met][..., None])[..., 0] - PRIOR * np.append(np.full(_INPUTS - 1, 0.35), 0)
         low, share = self._place(z)
         points, first, last = len(_GRID), 1 << b, 2 << b  # the nodes of this bit
-        for place, weight in ((low, n * (1 - share)), (low + 1, n * share)):
-            cell = (node - first) * points + place
-            self.seen[0, first:last] += np.bincount(cell, weight, first * points).reshape(first, points)
-            self.seen[1, first:last] += np.bincount(cell, weight * bit, first * points).reshape(first, points)
+        cell = ((node - first) * points + low) * 2 + bit
+        upper = n * share
+        for at, weight in ((0, n - upper), (2, upper)):
+            seen = np.bincount(cell + at, weight, first * points * 2).reshape(first, points, 2)
+            self.seen[0, first:last] += seen[..., 0] + seen[..., 1]
+            self.seen[1, first:last] += seen[..., 1]
+        self.scoring = None
 
     def logs(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte."""
-        out, weights = np.empty(len(code)), np.ascontiguousarray(self.weights.transpose(0, 2, 1), np.float32)
-        weights[:, :-1] *= np.float32(POINTS / SCALE)
-        weights[:, -1] *= np.float32(POINTS * 0.3)
-        final, low_bits, span = self.final().ravel(), (1 << KNOWN_BITS) - 1, 32 * POINTS
+        if self.scoring is None:
+            self.scoring = self._scoring()
+        weights, final = self.scoring
+        out, low_bits, span = np.empty(len(code)), (1 << KNOWN_BITS) - 1, 32 * POINTS
         for at in range(0, len(code), 1 << 14):
             c = code[at : at + (1 << 14)]
             symbol, total = (c & np.uint64(255)).astype(np.int64), np.ones(len(c))
             spread = {o: x * _B for o, x in _contexts(c, word[at : at + (1 << 14)]).items()}
-            x = np.empty((_INPUTS - 1, len(c)), np.float32)
+            x = np.empty((_INPUTS, len(c)), np.float32)
+            x[-1] = 1
             for b in range(7, -1, -1):
                 bit, node = (symbol >> b) & 1, (1 << (7 - b)) | (symbol >> (b + 1))
                 branch, gate = node.astype(np.uint64) * _AB, 0
                 for k, o in enumerate(ORDERS):
-                    v = self.packed[o][((spread[o] + branch) >> np.uint64(64 - self.bits[o])).view(np.int64)]  # as _slot() has it
-                    np.right_shift(v, KNOWN_BITS, out=x[k], casting="unsafe")
+                    v = self.packed[o].take(((spread[o] + branch) >> np.uint64(64 - self.bits[o])).view(np.int64))  # as _slot() has it
+                    x[k] = v >> KNOWN_BITS
                     if o in (5, WORD):
                         gate = (gate << KNOWN_BITS) + (v & low_bits)
-                z = weights[7 - b, -1].take(gate)
-                for k in range(_INPUTS - 1):
-                    z += x[k] * weights[7 - b, k].take(gate)
-                place = np.clip(np.rint(z), -span // 2, span // 2 - 1).astype(np.int64)
-                p = final[node * span + place + span // 2]
-                total *= np.where(bit == 1, p, 1 - p)
+                z = np.einsum("kn,nk->n", x, weights[7 - b].take(gate, axis=0))
+                place = np.clip(np.rint(z, out=z), -span // 2, span // 2 - 1).astype(np.int64)
+                p = final.take(node * span + place + span // 2)
+                total *= np.abs((1 - bit).astype(np.float32) - p)
             out[at : at + (1 << 14)] = np.log10(total)
         return out
 
+    def _scoring(self) -> tuple[np.ndarray, np.ndarray]:
+        """What logs() looks up: weights of packed log-odds, in POINTS, and the final probabilities."""
+        weights = self.weights.astype(np.float32)
+        weights[..., :-1] *= np.float32(POINTS / SCALE)
+        weights[..., -1] *= np.float32(POINTS * 0.3)
+        return weights, self.final().ravel()
+
 
 class Cache:
     """Evaluations of (code, word) kept by a worker from task to task, in slots that newer ones overwrite."""
@@ -572,10 +613,11 @@ class Cache:
         out = found.astype(np.uint32).view(np.float32)
         gone = np.flatnonzero((found >> np.uint64(32)).astype(np.uint32) != mark)
         if len(gone):
-            new, first, back = np.unique(key[gone], return_index=True, return_inverse=True)
-            value = self.mixer.logs(code[gone[first]], word[gone[first]]).astype(np.float32)
-            out[gone] = value[back]
-            self.slots[slot[gone[first]]] = new << np.uint64(32) | value.view(np.uint32)
+            index, first = _numbered(key[gone])
+            new = gone[first]
+            value = self.mixer.logs(code[new], word[new]).astype(np.float32)
+            out[gone] = value[index]
+            self.slots[slot[new]] = key[new] << np.uint64(32) | value.view(np.uint32)
         return out
 
 
@@ -643,6 +685,38 @@ def _key(token: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def base_scores(texts: list[bytes], logs: dict[bytes | int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of each text: its tokens, how many of them have one of the logs (all below zero) of the frequent() ones, the sum of these logs; the _key() of each other token, and how often it occurs."""
+    size, end = len(texts), logs.get(END, 0.0)
+    n, known, base = np.ones(size, np.int64), np.full(size, int(end < 0)), np.full(size, end)
+    owners, keys, times = [], [], []
+    if not end:
+        owners, keys, times = [np.arange(size)], [np.full(size, _key(END))], [np.ones(size, np.int64)]
+    for owner, words in words_of(texts):
+        coded = words.dictionary_encode()
+        index, tokens = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        log = np.fromiter(map(logs.get, tokens, repeat(0.0)), float, len(tokens))
+        for k in np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy() > HEAD_BYTES):
+            log[k] = logs.get(_key(tokens[k]), 0.0)
+        found = log[index]
+        n += np.bincount(owner, minlength=size)
+        known += np.bincount(owner[found < 0], minlength=size)
+        base += np.bincount(owner, found, size)
+        other = found == 0
+        pair, count = np.unique(owner[other] * len(tokens) + index[other], return_counts=True)
+        key = np.zeros(len(tokens), np.int64)
+        rare = np.flatnonzero(log == 0)
+        key[rare] = [_key(t) for t in tokens[rare]]
+        if len(pair):
+            owners.append(pair // len(tokens))
+            keys.append(key[pair % len(tokens)])
+            times.append(count)
+    owner, key, count = (np.concatenate([np.empty(0, np.int64), *x]) for x in (owners, keys, times))
+    order = np.argsort(owner, kind="stable")
+    starts = pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=size))), pa.int32())
+    return n, known, base, *(pa.ListArray.from_arrays(starts, pa.array(x[order])) for x in (key, count))
+
+
 def score(docs: DataFrame, training: DataFrame, head: int = HEAD) -> DataFrame:
     """One row per row of docs: (doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
 
@@ -666,18 +740,9 @@ def score(docs: DataFrame, training: DataFrame, head: int = HEAD) -> DataFrame:
                 code, word, part = positions(held)
                 total += np.bincount(owner[part], cache.logs(code, word), len(text))
                 size += np.bincount(owner[part], minlength=len(text))
-            n, known, base, rest, times = [], [], [], [], []
-            for x in text:
-                counts = _words(x)
-                log = {t: logs[t] if t in logs else logs.get(_key(t)) if len(t) > HEAD_BYTES else None for t in counts}
-                other = [t for t, v in log.items() if v is None]
-                n.append(counts.total())
-                base.append(sum(c * log[t] for t, c in counts.items() if log[t] is not None))
-                rest.append([_key(t) for t in other])
-                times.append([counts[t] for t in other])
-                known.append(n[-1] - sum(times[-1]))
+            n, known, base, rest, times = base_scores(text, logs)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(size), pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                [piece.column("doc_id"), pa.array(n), pa.array(known), pa.array(base), pa.array(total), pa.array(size), rest, times],
                 names=["doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rest", "times"],
             )
 

@@ -219,3 +219,38 @@ def test_a_task_evaluates_equal_pairs_once(spark, monkeypatch):
     code, word, _ = lm_score.positions(whole(text.encode()))
     assert sum(sizes) == len({*zip(code.tolist(), word.tolist(), strict=True)})
     assert mixer.seen[0].sum() == pytest.approx(60 * 8 * len(code))
+
+
+def test_what_scoring_looks_up_is_made_once(monkeypatch):
+    """Evaluations share the final probabilities until something is learned; then those of the new weights are used."""
+    bits = {o: 10 for o in lm_score.ORDERS}
+    counts = {o: np.random.default_rng(o).integers(0, 40, (2, 1 << 10)).astype(np.uint16) for o in lm_score.ORDERS}
+    mixer, made = lm_score.Mixer(bits, {o: lm_score._pack(c) for o, c in counts.items()}), []
+    final = mixer.final
+    monkeypatch.setattr(mixer, "final", lambda: made.append(0) or final())
+    code, word, _ = lm_score.positions(whole(b"the alpha beta " * 30))
+    cache = lm_score.Cache(mixer)
+    for at in range(0, len(code), 10):
+        cache.logs(code[at : at + 10], word[at : at + 10])
+    assert len(made) == 1
+    before = mixer.logs(code, word)
+    mixer.learn(counts, code, word)
+    assert not np.allclose(mixer.logs(code, word), before) and len(made) == 2
+
+
+def test_base_scores_against_plain_counts():
+    """Words of long texts, at ends of sections, and beyond HEAD_BYTES; the end among the frequent tokens or not."""
+    long = b"q" * (lm_score.HEAD_BYTES + 1)
+    texts = [b"", b"  A b\t\ta \n", b"x", b" \x0b\x0c\r", "é É ñ y\x85 \x1c a\x1fb".encode(), long + b" b", b"a " * 700_000 + b"Z" * 1_500_000 + b" w", b"\x00 \xff\xfe a"]
+    every = {b"a": -1.0, b"b": -2.0, b"\n": -0.5, lm_score._key(long): -3.0}
+    for logs in (every, {b"a": -1.0}, {}):
+        n, known, base, rest, times = lm_score.base_scores(texts, logs)
+        for i, text in enumerate(texts):
+            own = Counter([*re.findall(rb"[^\x20\x09-\x0D]+", text.lower()), b"\n"])
+            log = {t: logs.get(t if len(t) <= lm_score.HEAD_BYTES else lm_score._key(t)) for t in own}
+            got = Counter()
+            for key, k in zip(rest[i].as_py(), times[i].as_py(), strict=True):
+                got[key] += k
+            others = {lm_score._key(t): k for t, k in own.items() if log[t] is None}
+            assert (n[i], known[i], got) == (own.total(), own.total() - sum(others.values()), others)
+            assert base[i] == pytest.approx(sum(k * log[t] for t, k in own.items() if log[t] is not None))
